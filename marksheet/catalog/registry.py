@@ -84,5 +84,5 @@ def with_views(names: str, body: str, more: dict[str, str] | None = None, recurs
     for name in names.split():
         add(name)
     parts = [f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in needed]
-    parts += [f"{n} AS ({text})" for n, text in (more or {}).items()]
+    parts += [f"{n} AS MATERIALIZED ({text})" for n, text in (more or {}).items()]
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
