@@ -150,11 +150,11 @@ def pad_responses(spark, sf_dir):
 
 
 @query("quota_split", with_views("resp", """, s AS (SELECT count(DISTINCT user_id) AS u, count(DISTINCT item_id) AS i FROM resp),
-    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS ur,
-          row_number() OVER (PARTITION BY item_id ORDER BY user_id) AS ir,
-          count(*) OVER (PARTITION BY user_id) AS un, count(*) OVER (PARTITION BY item_id) AS n FROM resp)
-    SELECT user_id, item_id, answer, ur <= greatest(0, ceil(round(un - CAST(0.9 AS DOUBLE) * i, 6)))
-        AND ir <= greatest(0, floor(round(n - CAST(0.8 AS DOUBLE) * u, 6)) + 1) AS is_test FROM k, s"""))
+    k AS (SELECT *, ceil(round(count(*) OVER (PARTITION BY user_id) - CAST(0.9 AS DOUBLE) * i, 6)) AS uq,
+          floor(round(count(*) OVER (PARTITION BY item_id) - CAST(0.8 AS DOUBLE) * u, 6)) + 1 AS iq FROM resp, s),
+    w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS ur FROM k WHERE uq > 0 AND iq > 0),
+    h AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY user_id) AS ir FROM w WHERE ur <= uq)
+    SELECT user_id, item_id, answer, (user_id, item_id) IN (SELECT (user_id, item_id) FROM h WHERE ir <= iq) AS is_test FROM resp"""))
 def quota_split(spark, sf_dir):
     return rs.quota_split(views.answers(spark, sf_dir), ["item_id", "user_id"])
 

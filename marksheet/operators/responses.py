@@ -168,21 +168,25 @@ def quota_split(responses: DataFrame, order: list[str], hot_rows: int | None = N
     """Mark answers as held out while learner and item both keep enough answers.
 
     A learner may lose answers down to 90 % of all items, an item down to 80 % of all learners.
-    An answer is held out when it lies within both quotas, counted in ``order``; the result does
-    not depend on the order rows arrive in.
+    Only answers whose learner and item both have a quota compete: first for the learner's, the
+    winners then for the item's, in ``order``.  The result does not depend on the order rows
+    arrive in, and both guarantees hold.
     """
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    users, items = _counts(responses, "user_id"), _counts(responses, "item_id")
     all_users, all_items = responses.agg(F.count_distinct("user_id"), F.count_distinct("item_id")).first()
-    user_quota = users.select("user_id", F.greatest(
-        F.lit(0), F.ceil(F.round(F.col("n") - 0.9 * all_items, 6))).cast("long").alias("user_quota"))
-    item_quota = items.select("item_id", F.greatest(
-        F.lit(0), F.floor(F.round(F.col("n") - 0.8 * all_users, 6)) + 1).cast("long").alias("item_quota"))
-    ranked = row_number_by(responses, ["user_id"], order, "_user_rank", **extra)
-    ranked = row_number_by(ranked, ["item_id"], order, "_item_rank", **extra)
-    marked = skew_join(skew_join(ranked, user_quota, ["user_id"]), item_quota, ["item_id"])
-    held = (F.col("_user_rank") <= F.col("user_quota")) & (F.col("_item_rank") <= F.col("item_quota"))
-    return marked.withColumn("is_test", held).select(*responses.columns, "is_test")
+    users = _counts(responses, "user_id").select("user_id", F.ceil(
+        F.round(F.col("n") - 0.9 * all_items, 6)).cast("long").alias("_user_quota")).filter("_user_quota > 0")
+    items = _counts(responses, "item_id").select("item_id", (F.floor(
+        F.round(F.col("n") - 0.8 * all_users, 6)) + 1).cast("long").alias("_item_quota")).filter("_item_quota > 0")
+    keys = list(dict.fromkeys(["user_id", "item_id", *order]))
+    open_rows = skew_join(skew_join(responses.select(*keys), users, ["user_id"], "inner"),
+                          items, ["item_id"], "inner")
+    ranked = row_number_by(open_rows, ["user_id"], order, "_user_rank", **extra)
+    winners = ranked.filter("_user_rank <= _user_quota").drop("_user_rank")
+    ranked = row_number_by(winners, ["item_id"], order, "_item_rank", **extra)
+    held = ranked.filter("_item_rank <= _item_quota").select(*keys, F.lit(True).alias("_held"))
+    return responses.join(held, keys, "left").select(
+        *responses.columns, F.coalesce("_held", F.lit(False)).alias("is_test"))
 
 
 def leave_last_out(rows: DataFrame, keys: list[str], order: list[str], row_id: str,

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from marksheet.functions import hmm
 from marksheet.functions.logistic import doubles, sigmoid, total
-from marksheet.operators.sequences import is_split
+from marksheet.operators.sequences import build_sequences, is_split
 from marksheet.plans.skew import skew_join
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -513,9 +513,21 @@ def predict_viterbi_first(models: DataFrame) -> DataFrame:
     return models.select("trace", (F.array_position("pi", F.array_max("pi")) - 1).alias("next_state"))
 
 
-def state_right(models_or_pred: DataFrame, config: TracingConfig, state: str = "next_state",
-                difficulty: str | None = None) -> Column:
+def state_right(config: TracingConfig, difficulty: str | None = None, state: str = "next_state") -> Column:
     """P(right) when the state is known."""
     if config.leveled:
         return sigmoid(F.col(state) + config.offset_predict - F.col(difficulty))
     return F.element_at(F.element_at("B", F.col(state).cast("int") + 1), 2)
+
+
+def predict_batch(rows: DataFrame, trace_by: list[str], group_by: list[str], sorted_by: list[str],
+                  values: dict[str, str], models: DataFrame | None = None, config: TracingConfig = STANDARD,
+                  algorithm: str = "posterior") -> DataFrame:
+    """Chance that the next answer is right, for every (trace, group) of a log."""
+    seqs = build_sequences(rows, trace_by, group_by, sorted_by, values)
+    if algorithm == "posterior":
+        return predict_next(seqs, models, config).select("trace", "grp", "prob")
+    if algorithm != "viterbi":
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    found = with_models(predict_viterbi(seqs, models, config), models, config)
+    return found.select("trace", "grp", state_right(config).alias("prob"))

@@ -128,7 +128,7 @@ def fit_by_skill(seqs: DataFrame, config: TracingConfig = STANDARD, rounds: int
 
 
 def fit_by_sequence(seqs: DataFrame, config: TracingConfig = STANDARD, rounds: int | None = None) -> DataFrame:
-    """EM with one model per (trace, group); the model's trace is ``trace_grp``.
+    """EM with one model per (trace, group).
 
     Whole sequences are trained inside Arrow batches without any shuffle.  Sequences that were cut
     into pieces go through the round-by-round job, which never needs a sequence in one place.
@@ -190,14 +190,15 @@ def fit_levels(seqs: DataFrame, config: TracingConfig = LEVELS, rounds: int | No
 
 
 def fit_batch(rows: DataFrame, trace_by: list[str], group_by: list[str], sorted_by: list[str],
-              values: dict[str, str], config: TracingConfig = STANDARD, longer_than: int = 3) -> DataFrame:
+              values: dict[str, str], config: TracingConfig = STANDARD, longer_than: int = 3,
+              rounds: int | None = None) -> DataFrame:
     """Train every trace of a log: in one pass when each trace has one sequence, else round by round."""
     seqs = cut_lineage(build_sequences_generic(rows, trace_by, group_by, sorted_by, values, longer_than),
                        "sequences")
     most = seqs.groupBy("trace").agg(F.count_distinct("grp").alias("n")).agg(F.max("n")).first()[0]
     if most is not None and most > 1:
-        return fit_by_skill(seqs, config)
-    return fit_by_sequence(seqs, config).drop("grp").select(*MODEL_COLUMNS)
+        return fit_by_skill(seqs, config, rounds)
+    return fit_by_sequence(seqs, config, rounds).select(*MODEL_COLUMNS)
 
 
 def model_summary(models: DataFrame) -> DataFrame:
