@@ -88,7 +88,13 @@ def prob_noncompensatory(theta="theta", a="a", b="b", c="c") -> Column:
 
 
 def doubles(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A literal array, as one expression."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
+def array_of(template: str, size: int) -> Column:
+    """``array(f(0), f(1), ...)`` from an SQL template with ``{k}``, as one expression."""
+    return F.expr("array(" + ", ".join(template.format(k=k) for k in range(size)) + ")")
 
 
 def total(columns: list[Column]) -> Column:

@@ -5,8 +5,11 @@ Answers carry their item's a, b, c.  A learner's answers are put into an array o
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marksheet.functions import logistic as lg
 from marksheet.functions.grids import normal_grid
@@ -49,20 +52,36 @@ def _estimate(answers: DataFrame, mu, sigma, form, D, rounds, max_answers, start
 
 
 def _from_arrays(rows: DataFrame, mu, sigma, form, D, rounds, start) -> DataFrame:
-    collected = rows.groupBy("user_id").agg(F.collect_list(F.struct("a", "b", "c", "answer")).alias("_r"))
-
-    def one_round(theta, _):
-        zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
-
-        def add(acc, r):
-            g, h = score_terms(theta, r["a"], r["b"], r["c"], r["answer"], form, D)
-            return F.struct((acc["g"] + g).alias("g"), (acc["h"] + h).alias("h"))
-
-        sums = F.aggregate("_r", zero, add)
-        return F.transform(F.array(sums), lambda s: newton(theta, s["g"], s["h"], mu, sigma))[0]
-
-    steps = F.sequence(F.lit(1), F.lit(rounds))
-    return collected.select("user_id", F.aggregate(steps, F.lit(float(start)), one_round).alias("theta"))
+    """All Newton rounds of many learners at once, on the flat answers of an Arrow batch."""
+    numbers = F.struct(*[F.col(c).cast("double").alias(c) for c in ("a", "b", "c", "answer")])
+    collected = rows.groupBy("user_id").agg(F.collect_list(numbers).alias("_r"))
+    schema = T.StructType([rows.schema["user_id"], T.StructField("theta", T.DoubleType())])
+    low, high = lg.THETA_BOUNDS
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_r")
+            lengths = np.diff(lists.offsets.to_numpy())
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            a, b, c, y = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
+            slope = a if form == "intercept" else D * a
+            shift = b if form == "intercept" else -slope * b
+            theta = np.full(len(lengths), float(start))
+            for _ in range(rounds):
+                p = c + (1 - c) / (1 + np.exp(-(slope * np.repeat(theta, lengths) + shift)))
+                rise = slope * (p - c) / (1 - c)
+                gradient = np.add.reduceat(rise * (y - p) / p, starts)
+                information = np.add.reduceat(rise * rise * (1 - p) / p, starts)
+                if mu is not None:
+                    gradient -= (theta - mu) / sigma ** 2
+                    information += 1 / sigma ** 2
+                step = np.divide(gradient, information, out=np.zeros_like(theta), where=information != 0)
+                theta = np.clip(theta + np.clip(step, -STEP, STEP), low, high)
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), pa.array(theta)], names=["user_id", "theta"])
+
+    return collected.mapInArrow(run, schema)
 
 
 def _from_sums(rows: DataFrame, mu, sigma, form, D, rounds, start) -> DataFrame:
@@ -117,9 +136,8 @@ def estep_posterior(responses: DataFrame, items: DataFrame, size: int = 40, low:
     joined = skew_join(responses, item_node_logs(items, nodes, form, D), ["item_id"], "inner")
     logs = F.when(F.col("answer") == 1, F.col("_log1")).otherwise(F.col("_log0"))
     summed = joined.select("user_id", logs.alias("_log")).groupBy("user_id").agg(
-        *[F.sum(F.col("_log")[k]).alias(f"_s{k}") for k in range(size)])
-    prior = F.transform(lg.doubles(mass), lambda m: F.log(m))
-    raw = F.zip_with(F.array(*[F.col(f"_s{k}") for k in range(size)]), prior, lambda s, m: s + m)
+        lg.array_of("sum(_log[{k}])", size).alias("_sums"))
+    raw = F.zip_with("_sums", lg.doubles(np.log(mass)), lambda s, m: s + m)
     return normalized(summed.select("user_id", raw.alias("_raw")))
 
 

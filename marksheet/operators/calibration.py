@@ -14,7 +14,7 @@ from marksheet.functions.grids import normal_grid
 from marksheet.operators.ability import estep_posterior, posterior_mean
 from marksheet.operators.scoring import with_parameters
 from marksheet.plans.lineage import RoundTable, cut_lineage
-from marksheet.plans.skew import skew_join
+from marksheet.plans.skew import kept_by, skew_join
 
 MAX_STEP = 1.0
 
@@ -40,8 +40,10 @@ def item_gradient_information(responses: DataFrame, users: DataFrame, items: Dat
         (-F.sum(weight * db * db)).alias("hess_bb"))
 
 
-def solve(gradient: list[Column], information: list[list[Column]]) -> list[Column]:
+def solve(gradient: list[Column], information: list[list[Column]], limits: list[float] | None = None) -> list[Column]:
     """Newton step of a 1x1, 2x2 or 3x3 system in closed form; 0 where it is singular."""
+    limits = limits or [MAX_STEP] * len(gradient)
+
     def det(m):
         if len(m) == 1:
             return m[0][0]
@@ -54,10 +56,12 @@ def solve(gradient: list[Column], information: list[list[Column]]) -> list[Colum
     steps = []
     for j in range(len(gradient)):
         swapped = [[gradient[i] if k == j else v for k, v in enumerate(row)] for i, row in enumerate(information)]
-        steps.append(lg.clip(F.coalesce(F.try_divide(det(swapped), bottom), F.lit(0.0)), (-MAX_STEP, MAX_STEP)))
+        steps.append(lg.clip(F.coalesce(F.try_divide(det(swapped), bottom), F.lit(0.0)), (-limits[j], limits[j])))
     return steps
 
 
+GUESS_STEP = 0.05
+
 BOUNDS = {"a": lg.A_BOUNDS, "b": lg.B_BOUNDS, "c": lg.C_BOUNDS}
 
 
@@ -93,8 +97,15 @@ def _item_step(answers: DataFrame, items: DataFrame, free: list[str]) -> DataFra
 
 def _apply_step(items: DataFrame, sums: DataFrame, free: list[str]) -> DataFrame:
     n = len(free)
-    steps = solve([F.col(f"_g{i}") for i in range(n)],
-                  [[F.col(f"_h{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)])
+    g = [F.col(f"_g{i}") for i in range(n)]
+    h = [[F.col(f"_h{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)]
+    steps = solve(g, h, [GUESS_STEP if c == "c" else MAX_STEP for c in free])
+    if "c" in free:
+        # A guess that rests on a bound and pushes against it leaves the system.
+        low, high = BOUNDS["c"]
+        resting = ((F.col("c") <= low) & (g[-1] <= 0)) | ((F.col("c") >= high) & (g[-1] >= 0))
+        others = [*solve(g[:-1], [row[:-1] for row in h[:-1]]), F.lit(0.0)]
+        steps = [F.when(resting, o).otherwise(s) for o, s in zip(others, steps)]
     new = {c: lg.clip(F.col(c) + F.coalesce(s, F.lit(0.0)), BOUNDS[c]) for c, s in zip(free, steps)}
     moved = F.greatest(F.lit(0.0), F.lit(0.0), *[F.abs(new[c] - F.col(c)) for c in free])
     return items.select("item_id", "a", "b", "c").join(sums, ["item_id"], "left").select(
@@ -110,13 +121,10 @@ def expected_counts(responses: DataFrame, posterior: DataFrame, size: int = 40)
     joined = skew_join(responses.select("user_id", "item_id", "answer"),
                        posterior.select("user_id", "posterior", weight.alias("_w")), ["user_id"], "inner")
 
-    def sums(right, prefix):
-        share = F.when(F.col("answer") == right, F.col("_w")).otherwise(F.lit(0.0))
-        return [F.sum(F.col("posterior")[k] * share).alias(f"{prefix}{k}") for k in range(size)]
-
-    summed = joined.groupBy("item_id").agg(*sums(1, "_r"), *sums(0, "_w"))
-    return summed.select("item_id", F.array(*[F.col(f"_r{k}") for k in range(size)]).alias("right"),
-                         F.array(*[F.col(f"_w{k}") for k in range(size)]).alias("wrong"))
+    shares = joined.select("item_id", "posterior", *[
+        F.when(F.col("answer") == y, F.col("_w")).otherwise(0.0).alias(f"_w{y}") for y in (0, 1)])
+    return shares.groupBy("item_id").agg(lg.array_of("sum(posterior[{k}] * _w1)", size).alias("right"),
+                                         lg.array_of("sum(posterior[{k}] * _w0)", size).alias("wrong"))
 
 
 def mstep_items(items: DataFrame, counts: DataFrame, nodes: list[float], model: str = "2PL",
@@ -172,9 +180,10 @@ def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "
     log-likelihood rises by at most ``tol``.  Returns items, abilities, and {rounds, loglik}.
     """
     spark = responses.sparkSession
-    weight = F.max("weight") if "weight" in responses.columns else F.lit(1.0)
-    learners = cut_lineage(responses.groupBy("user_id").agg(weight.cast("double").alias("weight")), "learners")
-    answers = cut_lineage(responses.select("user_id", "item_id", "answer"), "answers")
+    weighted = "weight" in responses.columns
+    answers = cut_lineage(responses.select("user_id", "item_id", "answer", *(["weight"] if weighted else [])), "answers")
+    weights_of = answers.groupBy("user_id").agg(F.max("weight").cast("double").alias("weight")) if weighted else None
+    answers = kept_by(answers.select("user_id", "item_id", "answer"), "user_id")
     if items is None:
         items = answers.select("item_id").distinct().select(
             "item_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
@@ -184,8 +193,8 @@ def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "
     before, abilities, rounds = None, None, 0
     for rounds in range(1, (fixed_rounds or max_rounds) + 1):
         posterior = estep_posterior(answers, current, size, low, high, weights)
-        posterior = post_state.put(posterior.join(learners, ["user_id"])
-                                   .withColumn("theta", posterior_mean(nodes)))
+        posterior = posterior.join(weights_of, ["user_id"]) if weighted else posterior.withColumn("weight", F.lit(1.0))
+        posterior = post_state.put(posterior.withColumn("theta", posterior_mean(nodes)))
         counts = expected_counts(answers, posterior, size)
         current = item_state.put(mstep_items(current, counts, nodes, model, inner_rounds)
                                  .select("item_id", "a", "b", "c"))
@@ -197,4 +206,5 @@ def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "
             before = now
             break
         before = now
+    answers.unpersist()
     return current, abilities.select("user_id", "theta"), {"rounds": rounds, "loglik": before}

@@ -28,39 +28,54 @@ def label_predictions(rows: DataFrame, threshold: float = 0.5, strict: bool = Fa
             .withColumn("pred_result", F.col("pred_label") == F.col("answer")))
 
 
-def auc(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve per group, with ties counted half.
+def _points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Right, wrong and unusable answers per distinct probability: all measures follow from these."""
+    known = _known()
+    answer = F.col("answer").cast("long")
+    return rows.groupBy(*keys, F.col("prob").cast("double").alias("prob")).agg(
+        F.sum(F.when(known, answer).otherwise(0)).alias("pos"),
+        F.sum(F.when(known, 1 - answer).otherwise(0)).alias("neg"),
+        null_safe_sum(~known).alias("missing"))
 
-    Rows are first reduced to counts per distinct probability; the running count over the sorted
-    probabilities is taken per range partition and then shifted.
-    """
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Points with the number of wrong answers at or below them; per range partition, then shifted."""
+    return running_totals(_points(rows, keys), ["prob"], {"neg_upto": "neg"}, keys)
+
+
+def _measures() -> dict[str, Column]:
+    pos, neg, prob = F.col("pos"), F.col("neg"), F.coalesce(F.nanvl("prob", F.lit(0.0)), F.lit(0.0))
+    n = F.sum(pos + neg)
+    mse = F.try_divide(F.sum(pos * (1 - prob) ** 2 + neg * prob ** 2), n)
+    base = F.try_divide(F.sum(pos), n)
+    accuracy = _accuracy(prob >= 0.5)
+    return {
+        "n": n, "n_null": F.coalesce(F.sum("missing"), F.lit(0)), "base_rate": base,
+        "mae": F.try_divide(F.sum(pos * F.abs(1 - prob) + neg * F.abs(prob)), n), "mse": mse, "rmse": F.sqrt(mse),
+        "accuracy": accuracy, "gain": accuracy - base,
+        "auc": F.try_divide(F.sum(pos * (F.col("neg_upto") - neg / 2.0)), F.sum(pos).cast("double") * F.sum(neg)),
+    }
+
+
+def _accuracy(above: Column) -> Column:
+    """Share of right labels from points, when label 1 is given where ``above``."""
+    return F.try_divide(F.sum(F.when(above, F.col("pos")).otherwise(F.col("neg"))).cast("double"),
+                        F.sum(F.col("pos") + F.col("neg")))
+
+
+def auc(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve per group, with ties counted half."""
     keys = keys or []
-    points = rows.filter(_known()).groupBy(*keys, F.col("prob").cast("double").alias("prob")).agg(
-        F.sum(F.col("answer").cast("long")).alias("pos"),
-        F.sum(1 - F.col("answer").cast("long")).alias("neg"))
-    ranked = running_totals(points, ["prob"], {"neg_upto": "neg"}, keys)
-    wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked.groupBy(*keys).agg(F.try_divide(wins, pairs).alias("auc"))
+    return _ranked(rows, keys).groupBy(*keys).agg(_measures()["auc"].alias("auc"))
 
 
 def evaluate_binary(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Count, base rate, MAE, MSE, RMSE, accuracy at 0.5, AUC, accuracy minus base rate, nulls."""
+    """Count, base rate, MAE, MSE, RMSE, accuracy at 0.5, AUC, accuracy minus base rate, nulls.
+
+    One pass over the rows, which are first combined to counts per distinct probability.
+    """
     keys = keys or []
-    known = _known()
-    error = F.when(known, F.col("answer") - F.col("prob"))
-    right = F.when(known, (predicted_label() == F.col("answer")).cast("double"))
-    base = F.avg(F.when(known, F.col("answer").cast("double")))
-    sums = rows.groupBy(*keys).agg(
-        null_safe_sum(known).alias("n"), null_safe_sum(~known).alias("n_null"), base.alias("base_rate"),
-        F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"),
-        F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(right).alias("accuracy"),
-        (F.avg(right) - base).alias("gain"))
-    areas = auc(rows, keys)
-    if keys:
-        return sums.join(areas, keys, "left")
-    one = F.lit(1).alias("_one")
-    return sums.select("*", one).join(areas.select("*", one), ["_one"], "left").drop("_one")
+    return _ranked(rows, keys).groupBy(*keys).agg(*[c.alias(n) for n, c in _measures().items()])
 
 
 def error_metrics(rows: DataFrame) -> DataFrame:
@@ -115,20 +130,22 @@ def accuracy_sweep(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     shares = rows.filter(_known()).groupBy(*keys).agg(*[
         F.avg((predicted_label("prob", t, True) == F.col("answer")).cast("double")).alias(f"_t{i}")
         for i, t in enumerate(THRESHOLDS)])
-    pairs = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_t{i}").alias("accuracy"))
-                      for i, t in enumerate(THRESHOLDS)])
-    return shares.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.threshold", "_p.accuracy")
+    return shares.select(*keys, F.explode(_by_threshold()).alias("_p")).select(*keys, "_p.threshold", "_p.accuracy")
+
+
+def _by_threshold() -> Column:
+    return F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_t{i}").alias("accuracy"))
+                     for i, t in enumerate(THRESHOLDS)])
 
 
 def precision_recall_curve(rows: DataFrame) -> DataFrame:
     """Precision and recall at every distinct probability, from the highest down."""
-    points = rows.filter(_known()).groupBy(F.col("prob").cast("double").alias("threshold")).agg(
-        F.sum(F.col("answer").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")) \
-        .withColumn("_down", -F.col("threshold"))
+    points = _points(rows.filter(_known()), []).select(
+        F.col("prob").alias("threshold"), (-F.col("prob")).alias("_down"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
     ranked = running_totals(points, ["_down"], {"hits": "pos", "taken": "n"})
-    positives = rows.filter(_known()).agg(F.sum(F.col("answer").cast("long")).alias("_all"))
     one = F.lit(1).alias("_one")
-    return ranked.select("*", one).join(F.broadcast(positives.select("*", one)), ["_one"]).select(
+    positives = ranked.agg(F.max("hits").alias("_all")).select("_all", one)
+    return ranked.select("*", one).join(F.broadcast(positives), ["_one"]).select(
         "threshold", (F.col("hits") / F.col("taken")).alias("precision"),
         F.try_divide(F.col("hits"), F.col("_all")).alias("recall"))
 
@@ -211,13 +228,15 @@ def compare_models(rows: DataFrame, keys: list[str]) -> DataFrame:
     ``rows`` holds the keys, ``split`` ('train' / 'test'), answer and prob.
     """
     groups = [*keys, "split"]
-    base = evaluate_binary(rows, groups).select(*groups, "mae", "mse", "auc")
-    sweep = accuracy_sweep(rows, groups)
-    best = sweep.groupBy(*groups).agg(
-        F.max(F.when(F.col("threshold") == 0.5, F.col("accuracy"))).alias("acc"),
-        F.max(F.struct("accuracy", (-F.col("threshold")).alias("down"))).alias("_best"))
-    each = base.join(best, groups).select(
-        *groups, "acc", F.abs(F.col("_best.down")).alias("max_threshold"),
+    measures = _measures()
+    prob = F.coalesce(F.nanvl("prob", F.lit(0.0)), F.lit(0.0))
+    found = _ranked(rows, groups).groupBy(*groups).agg(
+        *[measures[m].alias(m) for m in ("mae", "mse", "auc")],
+        *[_accuracy(prob > t).alias(f"_t{i}") for i, t in enumerate(THRESHOLDS)])
+    # The highest accuracy; the lowest threshold among equals.
+    best = F.array_max(F.transform(_by_threshold(), lambda p: F.struct(p["accuracy"], -p["threshold"])))
+    each = found.withColumn("_best", best).select(
+        *groups, F.col(f"_t{THRESHOLDS.index(0.5)}").alias("acc"), F.abs(F.col("_best.col2")).alias("max_threshold"),
         F.col("_best.accuracy").alias("max_acc"), "mae", "mse", "auc")
     return each.groupBy(*keys).pivot("split", ["train", "test"]).agg(
         *[F.first(c).alias(c) for c in ("acc", "max_threshold", "max_acc", "mae", "mse", "auc")])

@@ -10,7 +10,7 @@ from marksheet.functions import logistic as lg
 from marksheet.functions.grids import hermite_grid
 from marksheet.operators.ability import normalized
 from marksheet.plans.lineage import RoundTable, cut_lineage
-from marksheet.plans.skew import skew_join
+from marksheet.plans.skew import kept_by, skew_join
 
 TINY = 1e-200
 MAX_STEP = 1.0
@@ -64,36 +64,52 @@ def grm_estep(scores: DataFrame, items: DataFrame, low: int, size: int = 11) ->
     logs = items.select("item_id", F.transform(_category_arrays(nodes), lambda probs: F.transform(
         probs, lambda p: F.log(F.greatest(p, F.lit(TINY))))).alias("_logs"))
     joined = skew_join(scores, logs, ["item_id"], "inner")
-    at = (F.col("score") - low + 1).cast("int")
-    summed = joined.groupBy("user_id").agg(*[
-        F.sum(F.element_at(F.col("_logs")[k], at)).alias(f"_s{k}") for k in range(size)])
-    raw = F.array(*[F.col(f"_s{k}") + float(np.log(mass[k])) for k in range(size)])
+    summed = joined.groupBy("user_id").agg(
+        lg.array_of(f"sum(_logs[{{k}}][score - {low}])", size).alias("_sums"))
+    raw = F.zip_with("_sums", lg.doubles(np.log(mass)), lambda s, m: s + m)
     posterior = normalized(summed.select("user_id", raw.alias("_raw")))
     weighted = skew_join(scores, posterior.select("user_id", "posterior"), ["user_id"], "inner")
-    return weighted.groupBy("item_id", "score").agg(
-        *[F.sum(F.col("posterior")[k]).alias(f"_c{k}") for k in range(size)]).select(
-        "item_id", "score", F.array(*[F.col(f"_c{k}") for k in range(size)]).alias("counts"))
+    return weighted.groupBy("item_id", "score").agg(lg.array_of("sum(posterior[{k}])", size).alias("counts"))
 
 
-def newton_step(slope, thresholds, counts, nodes):
-    """One Fisher step of every item; counts are (item, category, node)."""
-    n, m = thresholds.shape
-    z = slope[:, None, None] * nodes + thresholds[:, :, None]
-    upto = 1 / (1 + np.exp(-z))
+def category_chances(slope, thresholds, nodes):
+    """P(score >= j) for j = 0..m+1 and P(score = j), per item and node."""
+    n = len(slope)
+    upto = 1 / (1 + np.exp(-(slope[:, None, None] * nodes + thresholds[:, :, None])))
     edge = np.ones((n, 1, len(nodes)))
     reach = np.concatenate([edge, upto, 0 * edge], axis=1)
+    return reach, reach[:, :-1] - reach[:, 1:]
+
+
+def expected_log_likelihood(slope, thresholds, counts, nodes):
+    """Per item; minus infinity where thresholds do not fall."""
+    _, chance = category_chances(slope, thresholds, nodes)
+    value = (counts * np.log(np.maximum(chance, 1e-300))).sum((1, 2))
+    return np.where((np.diff(thresholds, axis=1) < 0).all(1), value, -np.inf)
+
+
+def newton_step(slope, thresholds, counts, nodes):
+    """One Fisher step of every item, halved until it gains; counts are (item, category, node)."""
+    n, m = thresholds.shape
+    reach, chance = category_chances(slope, thresholds, nodes)
     rise = reach * (1 - reach)
-    chance = np.maximum(reach[:, :-1] - reach[:, 1:], 1e-12)
+    chance = np.maximum(chance, 1e-12)
     slopes = np.zeros((n, m + 1, m + 1, len(nodes)))   # item, category, parameter, node
     for j in range(m):
         slopes[:, j + 1, j] = rise[:, j + 1]
         slopes[:, j, j] = -rise[:, j + 1]
     slopes[:, :, m] = nodes * (rise[:, :-1] - rise[:, 1:])
     gradient = np.einsum("nck,ncpk->np", counts / chance, slopes)
-    everyone = counts.sum(1)
-    information = np.einsum("nk,ncpk,ncqk->npq", everyone, slopes / chance[:, :, None], slopes)
+    information = np.einsum("nk,ncpk,ncqk->npq", counts.sum(1), slopes / chance[:, :, None], slopes)
     information += 1e-9 * np.eye(m + 1)
     step = np.clip(np.linalg.solve(information, gradient[:, :, None])[:, :, 0], -MAX_STEP, MAX_STEP)
+    before = expected_log_likelihood(slope, thresholds, counts, nodes)
+    for _ in range(30):
+        after = expected_log_likelihood(slope + step[:, m], thresholds + step[:, :m], counts, nodes)
+        worse = after < before
+        if not worse.any():
+            break
+        step[worse] /= 2
     return slope + step[:, m], thresholds + step[:, :m], np.abs(step).max(1)
 
 
@@ -127,7 +143,7 @@ def grm_mstep(items: DataFrame, counts: DataFrame, low: int, high: int, size: in
 
 def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size: int = 11):
     """EM until no parameter moves by ``tol``: items and the number of rounds."""
-    scores = cut_lineage(scores.select("user_id", "item_id", "score"), "scores")
+    scores = kept_by(cut_lineage(scores.select("user_id", "item_id", "score"), "scores"), "user_id")
     low, high = score_range(scores)
     state = RoundTable(scores.sparkSession, "items")
     items = state.put(start_items(scores, high - low + 1).withColumn("moved", F.lit(float("inf"))))
@@ -137,4 +153,5 @@ def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size:
         items = state.put(grm_mstep(items, counts, low, high, size))
         if items.agg(F.max("moved")).first()[0] < tol:
             break
+    scores.unpersist()
     return items.select("item_id", "slope", "thresholds"), rounds

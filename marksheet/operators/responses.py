@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marksheet.plans.lineage import cut_lineage
 from marksheet.plans.skew import dense_rank_of, null_safe_sum, row_number_by, skew_join
 
 REQUIRED = ("user_id", "item_id", "answer")
@@ -173,6 +174,7 @@ def quota_split(responses: DataFrame, order: list[str], hot_rows: int | None = N
     arrive in, and both guarantees hold.
     """
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
+    responses = cut_lineage(responses, "responses")
     all_users, all_items = responses.agg(F.count_distinct("user_id"), F.count_distinct("item_id")).first()
     users = _counts(responses, "user_id").select("user_id", F.ceil(
         F.round(F.col("n") - 0.9 * all_items, 6)).cast("long").alias("_user_quota")).filter("_user_quota > 0")

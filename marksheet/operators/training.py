@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marksheet.functions import hmm
+from marksheet.functions.logistic import array_of
 from marksheet.operators import tracing
 from marksheet.operators.sequences import build_sequences_generic, drop_short_sequences, is_split
 from marksheet.operators.tracing import DOUBLES, LEVELS, MATRIX, STANDARD, TracingConfig, doubles, matrix
@@ -44,14 +45,11 @@ def sequence_stats(seqs: DataFrame, models: DataFrame | None = None, config: Tra
 
 def summed_stats(stats: DataFrame, states: int) -> DataFrame:
     """Statistics summed per trace; partial sums are combined before the shuffle."""
-    def element_sums(name, size, only=None):
-        value = [F.col(name)[i] if only is None else F.when(only, F.col(name)[i]) for i in range(size)]
-        return F.array(*[F.sum(v) for v in value]).alias(name)
-
-    return stats.groupBy("trace").agg(
-        F.sum(F.when(F.col("begins"), 1).otherwise(0)).cast("long").alias("n_seq"),
-        element_sums("first", states, F.col("begins")), element_sums("moves", states * states),
-        element_sums("by_answer", states * 2), F.sum("loglik").alias("loglik"))
+    starting = stats.withColumn("first", F.when(F.col("begins"), F.col("first")))
+    return starting.groupBy("trace").agg(
+        F.expr("count_if(begins)").alias("n_seq"), array_of("sum(first[{k}])", states).alias("first"),
+        array_of("sum(moves[{k}])", states * states).alias("moves"),
+        array_of("sum(by_answer[{k}])", states * 2).alias("by_answer"), F.sum("loglik").alias("loglik"))
 
 
 def update_models(sums: DataFrame, config: TracingConfig = STANDARD) -> DataFrame:

@@ -1,6 +1,7 @@
 """Joins, ranks and running totals that stay spread out when one key holds a large share of rows."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Rows here are small but costly (folds, EM), so small partitions are worth their own task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
@@ -41,15 +44,31 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
             .filter(F.col("_n") > hot_rows).select(*keys))
 
 
+def adaptive_skew(spark: SparkSession) -> bool:
+    """Whether Spark itself splits skewed partitions of a join."""
+    return all(spark.conf.get(f"spark.sql.adaptive.{name}", "true").lower() == "true"
+               for name in ("enabled", "skewJoin.enabled"))
+
+
 def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
               hot_rows: int = HOT_ROWS, splits: int = SPLITS) -> DataFrame:
     """Equi-join of a large ``fact`` with a table that has one row per key.
 
-    ``dim`` is broadcast when its known size allows it.  Otherwise rows of hot (or null) keys get
-    a salt from a hash of the row, and only the hot keys of ``dim`` are repeated once per salt.
+    ``dim`` is broadcast only when its known size allows it.  Otherwise adaptive execution decides
+    from the real shuffle sizes: a small side becomes a broadcast, a hot partition of ``fact`` is
+    split.  Sessions without adaptive execution get the same by salting.
     """
     if fits_broadcast(dim):
         return fact.join(F.broadcast(dim), on, how)
+    if adaptive_skew(fact.sparkSession):
+        return fact.join(dim, on, how)
+    return salted_join(fact, dim, on, how, hot_rows, splits)
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
+                hot_rows: int = HOT_ROWS, splits: int = SPLITS) -> DataFrame:
+    """Join where rows of hot (or null) keys get a salt from a hash of the row, and only the hot
+    keys of ``dim`` are repeated once per salt."""
     hot = F.broadcast(hot_keys(fact, on, hot_rows).withColumn("_hot", F.lit(True)))
     missing = F.lit(False)
     for key in on:
@@ -64,6 +83,18 @@ def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def kept_by(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """A written table for repeated joins and sums on ``key``: hash-partitioned and kept on the
+    executors' disks, so that no round shuffles it again.
+
+    Left as it is when some key is hot, since its rows must not share one partition.  Lost blocks
+    are rebuilt from the written table.  The caller unpersists it.
+    """
+    if not hot_keys(df, [key], hot_rows).isEmpty():
+        return df
+    return df.repartition(key).persist(StorageLevel.DISK_ONLY)
+
+
 def range_parts(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` range-partitioned on ``order`` and written, with the partition number as ``_part``.
 
