@@ -262,8 +262,11 @@ class Block:
         known = np.asarray(self.batch.column(name).is_valid())
         if not known.any():
             return default
+        values = self.numbers(name).reshape(int(known.sum()), -1)
+        if known.all():
+            return values
         result = default.copy()
-        result[known] = self.numbers(name).reshape(-1, default.shape[1])
+        result[known] = values
         return result
 
 
