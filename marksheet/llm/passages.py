@@ -16,54 +16,59 @@ from pyspark.sql import types as T
 
 from marksheet.llm.common import Scratch, id_field, map_texts
 
-LEAST, MOST = 16, 256       # bytes of a chunk (the last of a text may be shorter)
+LEAST, MOST = 16, 128       # bytes of a chunk (the last of a text may be shorter)
 REACH = 16                  # bytes that decide on a cut
 MASK = np.uint32(0xF000)    # one place in 16 is a cut; these bits depend on the last 16 bytes only
-WORDS = 25                  # of a run: a passage loses about a dozen at either end, to its first and last cut
+WORDS = 30                  # of a run: a passage loses about a dozen at either end, to its first and last cut
 PART = 1 << 22              # bytes hashed at a time
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
+def rolling_hash(data: np.ndarray) -> np.ndarray:
+    """At every byte the gear hash of it and the REACH - 1 bytes before it (fewer at the start)."""
+    hashes, width = GEAR[data], 1
+    while width < REACH:        # hash of 2w bytes = hash of w bytes + that of the w bytes before, shifted
+        longer = hashes.copy()
+        longer[width:] += hashes[:-width] << np.uint32(width)
+        hashes, width = longer, 2 * width
+    return hashes
+
+
 def cut_places(data: np.ndarray) -> np.ndarray:
-    """Ends of all places where the hash of the last REACH bytes allows a cut, and a character ends."""
+    """Ends of all places where the hash allows a cut, and a character ends."""
     found = []
     for at in range(0, len(data), PART):
         before = min(at, REACH - 1)
-        hashes = GEAR[data[at - before:at + PART]]
-        width = 1
-        while width < REACH:    # hash of 2w bytes = hash of w bytes + that of the w bytes before, shifted
-            longer = hashes.copy()
-            longer[width:] += hashes[:-width] << np.uint32(width)
-            hashes, width = longer, 2 * width
-        ends = np.flatnonzero((hashes[before:] & MASK) == 0) + at + 1
+        ends = np.flatnonzero((rolling_hash(data[at - before:at + PART])[before:] & MASK) == 0) + at + 1
         found.append(ends[ends >= REACH])
     ends = np.concatenate(found) if found else np.empty(0, np.int64)
     inner = ends[ends < len(data)]
     return inner[(data[inner] & 0xC0) != 0x80]
 
 
-def chunk_ends(data: np.ndarray) -> list[int]:
-    """Ends of the chunks: the first allowed cut from LEAST bytes on, at MOST bytes at the latest."""
-    out, start = [], 0
+def _forced_cut(data: np.ndarray, start: int) -> int:
+    """Where to cut if no place in MOST bytes allows it: at the largest hash, of equal ones the last.
+
+    In a text that repeats a few bytes over and over, every such cut has the same phase.
+    """
+    low, high = start + LEAST, start + MOST
+    hashes = rolling_hash(data[low - REACH:high])[REACH - 1:]
+    ends = np.arange(low, high + 1)
+    hashes = np.where((data[ends] & 0xC0) != 0x80, hashes, 0)
+    return int(ends[len(hashes) - 1 - np.argmax(hashes[::-1])])
 
-    def fill(until):                # without an allowed cut: at most MOST bytes, at a character's end
-        nonlocal start
-        while until - start > MOST:
-            end = start + MOST
-            while end > start + 1 and data[end] & 0xC0 == 0x80:
-                end -= 1
-            out.append(end)
-            start = end
 
-    for end in cut_places(data).tolist():
-        fill(end)
-        if end - start >= LEAST:
+def chunk_ends(data: np.ndarray) -> list[int]:
+    """Ends of the chunks: the first allowed cut from LEAST bytes on, after MOST bytes a forced one."""
+    out, start = [], 0
+    for end in [*cut_places(data).tolist(), len(data)]:
+        while end - start > MOST:
+            start = _forced_cut(data, start)
+            out.append(start)
+        if end - start >= LEAST or end == len(data) > start:
             out.append(end)
             start = end
-    fill(len(data))
-    if start < len(data):
-        out.append(len(data))
     return out
 
 
