@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from marksheet.llm.common import id_field, map_texts
 
 LONG = 1 << 16          # characters; longer texts are encoded block by block
-OUT = 1 << 22           # ids in one Arrow batch, about
+OUT = 1 << 19           # ids in one Arrow batch, about
 #: No match of the pattern spans the place between a word character or punctuation and a blank or
 #: line break: a match holds white space only at its start, or nothing else.
 SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
