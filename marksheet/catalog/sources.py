@@ -167,12 +167,12 @@ def recode_answers(spark, sf_dir):
 
 
 @query("read_with_fallback", with_views("kt", """, p AS (SELECT * FROM kt WHERE skill = 'click'),
-    s AS (SELECT * FROM kt WHERE skill = 'view')
+    s AS (SELECT * FROM kt WHERE skill <> 'click')
     SELECT user_id, answer, event_id FROM p UNION ALL SELECT user_id, answer, event_id FROM s
     WHERE (user_id, answer) NOT IN (SELECT user_id, answer FROM p)"""))
 def read_with_fallback(spark, sf_dir):
     rows = views.tracing_answers(spark, sf_dir)
-    primary, secondary = rows.filter("skill = 'click'"), rows.filter("skill = 'view'")
+    primary, secondary = rows.filter("skill = 'click'"), rows.filter("skill <> 'click'")
     keep = ["user_id", "answer", "event_id"]
     return tables.read_with_fallback(primary.select(*keep), secondary.select(*keep), ["user_id", "answer"])
 

@@ -27,9 +27,9 @@ def kt_challenge(spark, sf_dir):
 @query("kt_compare")
 def kt_compare(spark, sf_dir):
     rows = log(spark, sf_dir)
-    return wf.kt_compare({"even": rows.filter("user_id % 2 = 0"), "odd": rows.filter("user_id % 2 = 1")}, rounds=3)
+    return wf.kt_compare({"even": rows.filter("user_id % 2 = 0"), "odd": rows.filter("user_id % 2 = 1")})
 
 
 @query("irt_train_eval")
 def irt_train_eval(spark, sf_dir):
-    return wf.irt_train_eval(views.answers(spark, sf_dir), ["item_id", "user_id"], rounds=2)
+    return wf.irt_train_eval(views.answers(spark, sf_dir), ["item_id", "user_id"], max_rounds=2)

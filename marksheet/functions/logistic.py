@@ -67,8 +67,8 @@ def prob4(theta, a="a", b="b", c="c", d="d", D: float = 1.0) -> Column:
 
 
 def bernoulli_log(y, p: Column) -> Column:
-    """log P(answer) for one 0/1 answer."""
-    return F.when(col(y) == 1, F.log(p)).otherwise(F.log1p(-p))
+    """log P(answer) for one 0/1 answer; null for a missing one, which sums then skip."""
+    return F.when(col(y) == 1, F.log(p)).when(col(y) == 0, F.log1p(-p))
 
 
 def dot(x, y) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from marksheet.functions import logistic as lg
 from marksheet.functions.grids import normal_grid
-from marksheet.operators.scoring import with_parameters
+from marksheet.operators.scoring import answered, with_parameters
 from marksheet.plans.lineage import RoundTable, cut_lineage
 from marksheet.plans.skew import skew_join
 
@@ -40,7 +40,7 @@ def newton(theta: Column, gradient: Column, information: Column, mu, sigma) -> C
 
 
 def _estimate(answers: DataFrame, mu, sigma, form, D, rounds, max_answers, start) -> DataFrame:
-    rows = answers.select("user_id", "a", "b", "c", "answer")
+    rows = answered(answers).select("user_id", "a", "b", "c", "answer")
     counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     longest = counts.agg(F.max("_n")).first()[0]
     if longest is None or longest <= max_answers:
@@ -113,7 +113,7 @@ def theta_gradient_information(responses: DataFrame, users: DataFrame, items: Da
                                form: str = "difficulty", D: float = 1.0) -> DataFrame:
     """Score and information of every learner at the given ability."""
     g, h = score_terms(*[F.col(c) for c in ("theta", "a", "b", "c", "answer")], form, D)
-    return with_parameters(responses, users, items).groupBy("user_id").agg(
+    return with_parameters(answered(responses), users, items).groupBy("user_id").agg(
         F.sum(g).alias("gradient"), F.sum(h).alias("information"))
 
 
@@ -133,7 +133,7 @@ def estep_posterior(responses: DataFrame, items: DataFrame, size: int = 40, low:
     One combinable sum per node, so a learner with very many answers never sits in one task.
     """
     nodes, mass = normal_grid(size, low, high, weights)
-    joined = skew_join(responses, item_node_logs(items, nodes, form, D), ["item_id"], "inner")
+    joined = skew_join(answered(responses), item_node_logs(items, nodes, form, D), ["item_id"], "inner")
     logs = F.when(F.col("answer") == 1, F.col("_log1")).otherwise(F.col("_log0"))
     summed = joined.select("user_id", logs.alias("_log")).groupBy("user_id").agg(
         lg.array_of("sum(_log[{k}])", size).alias("_sums"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marksheet.functions import logistic as lg
 from marksheet.functions.grids import normal_grid
 from marksheet.operators.ability import estep_posterior, posterior_mean
-from marksheet.operators.scoring import with_parameters
+from marksheet.operators.scoring import answered, with_parameters
 from marksheet.plans.lineage import RoundTable, cut_lineage
 from marksheet.plans.skew import kept_by, skew_join
 
@@ -34,7 +34,7 @@ def item_gradient_information(responses: DataFrame, users: DataFrame, items: Dat
     p, (da, db, _) = item_slopes(*[F.col(x) for x in ("theta", "a", "b", "c")])
     ratio = (F.col("answer") - p) / (p * (1 - p))
     weight = 1 / (p * (1 - p))
-    return with_parameters(responses, users, items).groupBy("item_id").agg(
+    return with_parameters(answered(responses), users, items).groupBy("item_id").agg(
         F.sum(ratio * da).alias("grad_a"), F.sum(ratio * db).alias("grad_b"),
         (-F.sum(weight * da * da)).alias("hess_aa"), (-F.sum(weight * da * db)).alias("hess_ab"),
         (-F.sum(weight * db * db)).alias("hess_bb"))
@@ -72,7 +72,7 @@ def item_mle(responses: DataFrame, users: DataFrame, items: DataFrame, model: st
     Fisher steps; stops when no parameter moves by more than ``tol`` or after ``rounds``.
     """
     free = [c for c in lg.MODELS[model].free if c != "c" or estimate_c]
-    answers = cut_lineage(skew_join(responses.select("user_id", "item_id", "answer"),
+    answers = cut_lineage(skew_join(answered(responses).select("user_id", "item_id", "answer"),
                                     users.select("user_id", "theta"), ["user_id"], "inner")
                           .select("item_id", "theta", "answer"), "answers")
     state = RoundTable(responses.sparkSession, "items")
@@ -181,7 +181,7 @@ def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "
     """
     spark = responses.sparkSession
     weighted = "weight" in responses.columns
-    answers = cut_lineage(responses.select("user_id", "item_id", "answer", *(["weight"] if weighted else [])), "answers")
+    answers = cut_lineage(answered(responses).select("user_id", "item_id", "answer", *(["weight"] if weighted else [])), "answers")
     weights_of = answers.groupBy("user_id").agg(F.max("weight").cast("double").alias("weight")) if weighted else None
     answers = kept_by(answers.select("user_id", "item_id", "answer"), "user_id")
     if items is None:

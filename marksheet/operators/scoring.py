@@ -16,6 +16,11 @@ def with_parameters(responses: DataFrame, users: DataFrame | None, items: DataFr
     return joined if users is None else skew_join(joined, users, ["user_id"], "inner")
 
 
+def answered(responses: DataFrame) -> DataFrame:
+    """The rows with an answer: a missing one says nothing about learner or item."""
+    return responses.filter(F.col("answer").isNotNull())
+
+
 def score_records(pairs: DataFrame, users: DataFrame, items: DataFrame, form: str = "difficulty",
                   D: float = lg.SCALE) -> DataFrame:
     """Chance of a right answer for given (learner, item) pairs."""

@@ -6,7 +6,7 @@ range-sorted over the cluster and cut into consecutive pieces; the table then ha
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marksheet.plans.lineage import cut_lineage
@@ -67,9 +67,11 @@ def is_split(seqs: DataFrame) -> bool:
 
 
 def drop_short_sequences(seqs: DataFrame, minimum_obs: int = 3) -> DataFrame:
-    """Sequences with at least ``minimum_obs`` answers; pieces belong to long ones and stay."""
-    enough = F.size("seq") >= minimum_obs
-    return seqs.filter(enough | F.col("seg").isNotNull() if is_split(seqs) else enough)
+    """Sequences with at least ``minimum_obs`` answers, those of all their pieces together."""
+    if not is_split(seqs):
+        return seqs.filter(F.size("seq") >= minimum_obs)
+    answers = F.sum(F.size("seq")).over(Window.partitionBy("trace", "grp"))
+    return seqs.withColumn("_answers", answers).filter(F.col("_answers") >= minimum_obs).drop("_answers")
 
 
 def join_history(test: DataFrame, seqs: DataFrame, trace: str, grp: str) -> DataFrame:

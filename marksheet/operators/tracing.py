@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,7 +136,8 @@ def fold_forward(config: TracingConfig, offset: float) -> Column:
         return F.struct(state.alias("weight"), acc["next"].alias("next"), acc["loglik"].alias("loglik"))
 
     def close(acc):
-        scale = total([acc["weight"][i] for i in S])
+        # An answer that no state allows gets the same floor as in functions/hmm.py.
+        scale = F.greatest(total([acc["weight"][i] for i in S]), F.lit(hmm.TINY))
         state = [acc["weight"][i] / scale for i in S]
         moved = [total([acc["weight"][i] * F.col("A")[i][j] for i in S]) / scale for j in S]
         return F.struct(F.array(*state).alias("weight"), F.array(*moved).alias("next"),
@@ -370,7 +371,7 @@ def _filter_job(config: TracingConfig, offset: float):
 
 def smooth(seqs: DataFrame, models: DataFrame | None = None, config: TracingConfig = STANDARD,
            offset: float | None = None) -> DataFrame:
-    """State posterior of every answer: trace, grp, seg, step, obs, posterior."""
+    """State posterior of every answer: trace, grp, step, obs, posterior, whether or not sequences are cut."""
     offset = config.offset_predict if offset is None else offset
     table = in_context(with_models(seqs, models, config), config, offset)
 
@@ -381,8 +382,11 @@ def smooth(seqs: DataFrame, models: DataFrame | None = None, config: TracingConf
         return [_ragged(hmm.smooth(filtered, beta), block.lengths)]
 
     found = run_batches(table, ["trace", "grp", "seg", "obs"], (config, offset, work), [("gamma", MATRIX)])
-    return found.select("trace", "grp", "seg", F.posexplode(F.arrays_zip("obs", "gamma")).alias("step", "_s")) \
-        .select("trace", "grp", "seg", F.col("step").cast("long").alias("step"),
+    earlier = Window.partitionBy("trace", "grp").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("obs")).over(earlier), F.lit(0)) if is_split(seqs) else F.lit(0)
+    found = found.withColumn("_before", before)     # on its own: a window beside a generator would see its rows
+    return found.select("trace", "grp", "_before", F.posexplode(F.arrays_zip("obs", "gamma")).alias("step", "_s")) \
+        .select("trace", "grp", (F.col("step") + F.col("_before")).cast("long").alias("step"),
                 F.col("_s.obs").alias("obs"), F.col("_s.gamma").alias("posterior"))
 
 

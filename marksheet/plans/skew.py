@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from marksheet.plans.lineage import cut_lineage
 
 HOT_ROWS = 1_000_000   # a key with more rows than this is split
-SPLITS = 64            # tasks that share one hot key
 
 
 def tune(spark: SparkSession) -> None:
@@ -21,66 +20,19 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Upper estimate of the size of ``df`` from the optimizer (exact file size for written tables)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b").strip().lower()
-    units = {"k": 10, "m": 20, "g": 30}
-    digits = text.rstrip("b")
-    shift = units.get(digits[-1:], 0)
-    return int(digits[:-1] if shift else digits) << shift
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    return plan_bytes(df) <= broadcast_limit(df.sparkSession)
-
-
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them, so safe to broadcast."""
+    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") > hot_rows).select(*keys))
 
 
-def adaptive_skew(spark: SparkSession) -> bool:
-    """Whether Spark itself splits skewed partitions of a join."""
-    return all(spark.conf.get(f"spark.sql.adaptive.{name}", "true").lower() == "true"
-               for name in ("enabled", "skewJoin.enabled"))
-
-
-def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-              hot_rows: int = HOT_ROWS, splits: int = SPLITS) -> DataFrame:
+def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Equi-join of a large ``fact`` with a table that has one row per key.
 
-    ``dim`` is broadcast only when its known size allows it.  Otherwise adaptive execution decides
-    from the real shuffle sizes: a small side becomes a broadcast, a hot partition of ``fact`` is
-    split.  Sessions without adaptive execution get the same by salting.
+    No hint: adaptive execution (see ``tune``) decides from real shuffle sizes whether the small side
+    is broadcast, and splits a hot partition of ``fact``.
     """
-    if fits_broadcast(dim):
-        return fact.join(F.broadcast(dim), on, how)
-    if adaptive_skew(fact.sparkSession):
-        return fact.join(dim, on, how)
-    return salted_join(fact, dim, on, how, hot_rows, splits)
-
-
-def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-                hot_rows: int = HOT_ROWS, splits: int = SPLITS) -> DataFrame:
-    """Join where rows of hot (or null) keys get a salt from a hash of the row, and only the hot
-    keys of ``dim`` are repeated once per salt."""
-    hot = F.broadcast(hot_keys(fact, on, hot_rows).withColumn("_hot", F.lit(True)))
-    missing = F.lit(False)
-    for key in on:
-        missing = missing | F.col(key).isNull()
-    spread = F.col("_hot").isNotNull() | missing
-    salt = F.when(spread, F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(splits)).cast("int"))
-    left = (fact.join(hot, on, "left")
-            .withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_hot"))
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(splits - 1))) \
-        .otherwise(F.array(F.lit(0)))
-    right = dim.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return fact.join(dim, on, how)
 
 
 def kept_by(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -137,7 +89,7 @@ def row_number_by(df: DataFrame, keys: list[str], order: list[str], alias: str,
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long").alias(alias)
     if hot_keys(df, keys, hot_rows).isEmpty():
         return df.select("*", plain)
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    hot = hot_keys(df, keys, hot_rows)
     cold = df.join(hot, keys, "left_anti").select("*", plain)
     counted = running_totals(df.join(hot, keys, "left_semi").withColumn("_one", F.lit(1).cast("long")),
                              order, {alias: "_one"}, keys).drop("_one")

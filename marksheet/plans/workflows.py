@@ -84,11 +84,11 @@ def kt_compare(logs: dict[str, DataFrame], rounds: int | None = None) -> DataFra
     return evaluation.final_report(cut_lineage(scored, "scored"))
 
 
-def irt_train_eval(answers: DataFrame, order: list[str], rounds: int = 5) -> DataFrame:
+def irt_train_eval(answers: DataFrame, order: list[str], max_rounds: int = 500, tol: float = 1e-6) -> DataFrame:
     """Quota split, marginal-likelihood fit on the rest, measures on both sides: one row."""
     marked = cut_lineage(responses.quota_split(answers, order), "split")
     train = marked.filter("not is_test").drop("is_test")
-    items, users, _ = calibration.fit_mml(train, fixed_rounds=rounds)
+    items, users, _ = calibration.fit_mml(train, max_rounds=max_rounds, tol=tol)
     split = F.when(F.col("is_test"), "test").otherwise("train")
     rows = scoring.score_records(marked, users, items, "intercept", 1.0).select(
         F.lit("2PL").alias("model"), split.alias("split"), "answer", "prob")

@@ -98,16 +98,21 @@ def load_dataset(spark: SparkSession, root: str, name: str, split: str) -> DataF
     return log.select(*KEPT[name]) if name in KEPT else log
 
 
-def explode_answer_json(lines: DataFrame, value: str = "value", month: str = "p_month") -> DataFrame:
-    """Raw lines to one row per answer; deleted lines are dropped, JSON keys are not kept."""
+def explode_answer_json(lines: DataFrame, value: str = "value", month: str = "p_month",
+                        fields: T.StructType = ANSWER_FIELDS) -> DataFrame:
+    """Raw lines to one row per answer; deleted lines are dropped, JSON keys are not kept.
+
+    A line that is too short or whose JSON cannot be read stops the load, as it does for a step log.
+    ``fields`` are those of one answer.
+    """
     parts = F.split(F.col(value), RAW_SEPARATOR)
     base = [F.element_at(parts, i + 1).alias(c) for i, c in enumerate(RAW_COLUMNS)]
-    parsed = F.from_json(F.element_at(parts, -1), T.MapType(T.StringType(), ANSWER_FIELDS))
+    parsed = F.from_json(F.element_at(parts, -1), T.MapType(T.StringType(), fields), {"mode": "FAILFAST"})
     return (lines.select(*base, F.col(month), parsed.alias("_answers"))
             .withColumn("isdeleted", F.col("isdeleted").cast("int"))
             .filter("isdeleted = 0")
             .withColumn("_answer", F.explode(F.map_values("_answers")))
-            .select(*RAW_COLUMNS, *[F.col(f"_answer.{f.name}").alias(f.name) for f in ANSWER_FIELDS], month))
+            .select(*RAW_COLUMNS, *[F.col(f"_answer.{f.name}").alias(f.name) for f in fields], month))
 
 
 def read_raw_lines(spark: SparkSession, root: str) -> DataFrame:

@@ -11,7 +11,7 @@ from marksheet.sources.logs import explode_answer_json, read_raw_lines
 def insert_json_into_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Load JSON rows into an existing table, replacing only the partitions they touch."""
     target = spark.table(table)
-    rows = spark.read.schema(target.schema).json(path).select(*target.columns)
+    rows = spark.read.schema(target.schema).json(path, mode="FAILFAST").select(*target.columns)
     insert_overwrite(rows, table)
     return spark.table(table)
 
@@ -28,8 +28,8 @@ def insert_overwrite(rows: DataFrame, table: str) -> None:
 
 
 def write_answers_partitioned(answers: DataFrame, path: str, month: str = "p_month") -> None:
-    """Answer table as Parquet, one folder per month."""
-    answers.write.mode("overwrite").partitionBy(month).parquet(path)
+    """Answer table as Parquet, one folder per month; months without new rows stay."""
+    answers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
 def raw_to_table(spark: SparkSession, raw_root: str, path: str) -> DataFrame:

@@ -32,41 +32,6 @@ def fact(spark):
     return spark.range(3000).select(key.cast("int").alias("k"), F.col("id").alias("v"))
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join(spark, fact, how):
-    dim = spark.range(0, 40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
-    close(skew.salted_join(fact, dim, ["k"], how, hot_rows=100, splits=5), fact.join(dim, ["k"], how))
-
-
-def test_hot_key_is_spread(spark, fact):
-    dim = spark.range(0, 40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
-    plan = skew.salted_join(fact, dim, ["k"], hot_rows=100, splits=5)._jdf.queryExecution().toString()
-    assert "_salt" in plan
-
-
-def test_join_is_salted_without_adaptive_execution(spark, fact):
-    dim = spark.range(0, 40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = skew.skew_join(fact, dim, ["k"])
-        assert "_salt" in joined._jdf.queryExecution().toString()
-        close(joined, fact.join(dim, ["k"], "left"))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_broadcast_only_when_small(spark, fact):
-    dim = spark.range(100).select(F.col("id").cast("int").alias("k"))
-    assert skew.fits_broadcast(dim)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
-    try:
-        assert not skew.fits_broadcast(dim)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_row_number_of_hot_groups(spark, fact):
     close(skew.row_number_by(fact, ["k"], ["v"], "n", hot_rows=100), skew.row_number_by(fact, ["k"], ["v"], "n"))
 
@@ -120,8 +85,8 @@ def test_forward(whole, pieces, config):
 
 @pytest.mark.parametrize("config", [STEADY, LEVELS], ids=["table", "levels"])
 def test_smooth(whole, pieces, config):
-    cols = ["trace", "grp", "obs", "posterior"]
-    close(tracing.smooth(pieces, None, config).select(*cols), tracing.smooth(whole, None, config).select(*cols))
+    close(tracing.smooth(pieces, None, config), tracing.smooth(whole, None, config))
+    close(tracing.decode_map(pieces, None, config), tracing.decode_map(whole, None, config))
 
 
 @pytest.mark.parametrize("config", [STEADY, LEVELS], ids=["table", "levels"])
@@ -136,6 +101,11 @@ def test_viterbi(whole, pieces, config):
           tracing.predict_viterbi(whole, None, config).select(*cols))
 
 
+def test_short_sequences_are_dropped_by_their_whole_length(whole, pieces):
+    left = sequences.drop_short_sequences(pieces, 12).select("trace", "grp").distinct()
+    close(left, sequences.drop_short_sequences(whole, 12).select("trace", "grp"))
+
+
 def test_statistics(whole, pieces):
     def sums(seqs):
         return training.summed_stats(training.sequence_stats(seqs, None, STEADY), 2)
