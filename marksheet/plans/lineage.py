@@ -27,9 +27,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application writes."""
+    return f"{scratch_dir(spark)}/marksheet/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{scratch_dir(spark)}/marksheet/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written and not yet deleted; results not yet written are lost."""
+    delete_path(spark, scratch_root(spark))
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
