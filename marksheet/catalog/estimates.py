@@ -138,11 +138,11 @@ PRINTED = f"SELECT item_id, {r('a', 'a')}, {r('b', 'b')}, {r('c', 'c')} FROM "
 
 
 @query("mstep_items", with_views("resp items", PRINTED + "new0",
-                                 {**NODE_VIEW, **estep("items", "0"), **mstep("items", "0", 3)}))
+                                 {**NODE_VIEW, **estep("items", "0"), **mstep("items", "0", 10)}))
 def mstep_items(spark, sf_dir):
     answers, _, items = tables(spark, sf_dir)
     counts = calibration.expected_counts(answers, ability.estep_posterior(answers, items))
-    return calibration.mstep_items(items, counts, NODES, rounds=3)
+    return calibration.mstep_items(items, counts, NODES)
 
 
 START = {"start": "SELECT DISTINCT item_id, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c FROM resp"}
@@ -170,11 +170,11 @@ def item_rounds(rounds: int) -> dict[str, str]:
     return parts
 
 
-@query("item_mle", with_views("resp users", PRINTED + "i4", item_rounds(5)))
+@query("item_mle", with_views("resp users", PRINTED + "i19", item_rounds(20)))
 def item_mle(spark, sf_dir):
     answers, users, items = tables(spark, sf_dir)
     start = items.select("item_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
-    return calibration.item_mle(answers, users, start, "2PL", 5, fixed_rounds=True)
+    return calibration.item_mle(answers, users, start, "2PL")
 
 
 def _flat(items, users):

@@ -239,14 +239,30 @@ LONG = "WHERE n >= 3"
 
 def flat(models, *keys):
     return models.select(
-        *keys, "n_seq", "loglik", F.col("pi")[0].alias("pi0"), F.col("pi")[1].alias("pi1"),
+        *keys, *[c for c in ("iter",) if c in models.columns], "n_seq", "loglik",
+        F.col("pi")[0].alias("pi0"), F.col("pi")[1].alias("pi1"),
         *[F.col("A")[i][j].alias(f"a{i}{j}") for i, j in CELLS], *[F.col("B")[i][j].alias(f"b{i}{j}") for i, j in CELLS])
 
 
-def two_rounds() -> dict[str, str]:
-    trained = Sql(STANDARD, "one")
-    return {**STD.stats("_1", keep=LONG), **STD.update("one", "stat_1"),
-            **trained.stats("_2", keep=LONG), **trained.update("two", "stat_2")}
+FITTED_SQL = MODEL_SQL.replace("n_seq", "iter, n_seq")
+
+
+def fitted() -> dict[str, str]:
+    """All rounds of the fit as ``fit``; a trace that has gained less than the tolerance stays as it is."""
+    start = [*STANDARD.pi, *STANDARD.A[0], *STANDARD.A[1], *STANDARD.B[0], *STANDARD.B[1]]
+    parts = {"mod0": f"""SELECT DISTINCT trace, {', '.join(f'{number(v)} AS {p}' for p, v in zip(PARAMS, start))},
+        0 AS iter, CAST(NULL AS DOUBLE) AS loglik, CAST(0 AS BIGINT) AS n_seq, true AS active FROM seq"""}
+    for k in range(1, STANDARD.max_iter + 1):
+        last = "fit" if k == STANDARD.max_iter else f"mod{k}"
+        parts[f"act{k}"] = f"SELECT * FROM mod{k - 1} WHERE active"
+        parts |= Sql(STANDARD, f"act{k}").stats(f"_{k}", keep=LONG)
+        parts |= Sql(STANDARD, f"act{k}").update(f"new{k}", f"stat_{k}")
+        parts[last] = f"""SELECT m.trace, {', '.join(f'CASE WHEN u.n_seq IS NULL THEN m.{p} ELSE u.{p} END AS {p}' for p in PARAMS)},
+            m.iter + CASE WHEN u.n_seq IS NULL THEN 0 ELSE 1 END AS iter, coalesce(u.loglik, m.loglik) AS loglik,
+            coalesce(u.n_seq, m.n_seq) AS n_seq, m.active AND u.n_seq IS NOT NULL
+            AND NOT coalesce((u.loglik - m.loglik) / u.n_seq < {number(STANDARD.tol)}, false) AS active
+            FROM mod{k - 1} m LEFT JOIN new{k} u USING (trace)"""
+    return parts
 
 
 @query("kt_update_models", traced(MODEL_SQL + "one", STD.stats("_1", keep=LONG), STD.update("one", "stat_1")))
@@ -255,22 +271,22 @@ def kt_update_models(spark, sf_dir):
     return flat(tn.update_models(tn.summed_stats(stats, 2)), "trace")
 
 
-@query("kt_fit_by_skill", traced(MODEL_SQL + "two", two_rounds()))
+@query("kt_fit_by_skill", traced(FITTED_SQL + "fit", fitted()))
 def kt_fit_by_skill(spark, sf_dir):
-    return flat(tn.fit_by_skill(sequences(spark, sf_dir), rounds=2), "trace")
+    return flat(tn.fit_by_skill(sequences(spark, sf_dir)), "trace")
 
 
-@query("kt_fit_batch", traced(MODEL_SQL + "two", two_rounds()))
+@query("kt_fit_batch", traced(FITTED_SQL + "fit", fitted()))
 def kt_fit_batch(spark, sf_dir):
-    return flat(tn.fit_batch(log(spark, sf_dir), ["skill"], ["user_id"], ORDER, {"obs": "answer"}, rounds=2), "trace")
+    return flat(tn.fit_batch(log(spark, sf_dir), ["skill"], ["user_id"], ORDER, {"obs": "answer"}), "trace")
 
 
-OWN = with_views("kt", MODEL_SQL + "two", {**numbered(trace="skill || '_' || user_id"), **two_rounds()}, True)
+OWN = with_views("kt", FITTED_SQL + "fit WHERE n_seq > 0", {**numbered(trace="skill || '_' || user_id"), **fitted()}, True)
 
 
 @query("kt_fit_by_skill_user", OWN)
 def kt_fit_by_skill_user(spark, sf_dir):
-    models = tn.fit_by_sequence(sequences(spark, sf_dir), rounds=2).filter("success")
+    models = tn.fit_by_sequence(sequences(spark, sf_dir)).filter("success")
     return flat(models.withColumn("trace", F.concat_ws("_", "trace", "grp")), "trace")
 
 
@@ -287,10 +303,9 @@ def kt_predict_next(spark, sf_dir):
     return tr.predict_next(sequences(spark, sf_dir))
 
 
-@query("kt_predict_first", traced(f"SELECT trace, {r('pi0 * b01 + pi1 * b11', 'prob')} FROM one",
-                                  STD.stats("_1", keep=LONG), STD.update("one", "stat_1")))
+@query("kt_predict_first", traced(f"SELECT trace, {r('pi0 * b01 + pi1 * b11', 'prob')} FROM fit", fitted()))
 def kt_predict_first(spark, sf_dir):
-    return tr.predict_first(tn.fit_by_skill(sequences(spark, sf_dir), rounds=1))
+    return tr.predict_first(tn.fit_by_skill(sequences(spark, sf_dir)))
 
 
 PATHS = STEADY_SQL.paths()
@@ -356,10 +371,10 @@ def kt_log_likelihood(spark, sf_dir):
     return tr.log_likelihood_by_trace(sequences(spark, sf_dir), config=STEADY)
 
 
-@query("kt_model_table", traced(f"""SELECT count(*) AS n_models, count(*) AS n_success, 2 AS max_iter,
-    {r('sum(loglik)', 'loglik')} FROM two""", two_rounds()))
+@query("kt_model_table", traced(f"""SELECT count(*) AS n_models, count(*) FILTER (n_seq > 0) AS n_success,
+    max(iter) AS max_iter, {r('sum(loglik)', 'loglik')} FROM fit""", fitted()))
 def kt_model_table(spark, sf_dir):
-    return tn.model_summary(tn.fit_by_skill(sequences(spark, sf_dir), rounds=2))
+    return tn.model_summary(tn.fit_by_skill(sequences(spark, sf_dir)))
 
 
 STEADY_NEXT = " + ".join(f"{STEADY_SQL.arrive(j, lambda i: f'f{i}')} * {STEADY_SQL.right(j)}" for j in STEADY_SQL.S)
