@@ -311,10 +311,11 @@ def kt_predict_first(spark, sf_dir):
 PATHS = STEADY_SQL.paths()
 
 
-@query("kt_viterbi", traced(f"SELECT trace, grp, path, {r('score', 'score')} FROM best", PATHS))
+@query("kt_viterbi", traced(f"""SELECT trace, grp, CAST(k AS BIGINT) AS step, {r('score', 'score')},
+    CAST(substr(path, CAST(k + 1 AS BIGINT), 1) AS BIGINT) AS state
+    FROM (SELECT *, unnest(range(length(path))) AS k FROM best)""", PATHS))
 def kt_viterbi(spark, sf_dir):
-    return tr.viterbi(sequences(spark, sf_dir), config=STEADY).select(
-        "trace", "grp", F.array_join(F.transform("path", lambda s: s.cast("string")), "").alias("path"), "score")
+    return tr.viterbi(sequences(spark, sf_dir), config=STEADY)
 
 
 def next_state_sql(config: TracingConfig) -> str:

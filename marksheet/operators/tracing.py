@@ -381,13 +381,18 @@ def smooth(seqs: DataFrame, models: DataFrame | None = None, config: TracingConf
                             hmm.after_row(block.A, block.later, block.continued))
         return [_ragged(hmm.smooth(filtered, beta), block.lengths)]
 
-    found = run_batches(table, ["trace", "grp", "seg", "obs"], (config, offset, work), [("gamma", MATRIX)])
+    found = run_batches(table, ["trace", "grp", "seg", "obs"], (config, offset, work), [("posterior", MATRIX)])
+    return answer_rows(found, [], ["obs", "posterior"], is_split(seqs))
+
+
+def answer_rows(found: DataFrame, keep: list[str], arrays: list[str], split: bool) -> DataFrame:
+    """One row per answer: trace, grp, step in the whole sequence, ``keep`` and an element of every array."""
     earlier = Window.partitionBy("trace", "grp").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.size("obs")).over(earlier), F.lit(0)) if is_split(seqs) else F.lit(0)
+    before = F.coalesce(F.sum(F.size(arrays[0])).over(earlier), F.lit(0)) if split else F.lit(0)
     found = found.withColumn("_before", before)     # on its own: a window beside a generator would see its rows
-    return found.select("trace", "grp", "_before", F.posexplode(F.arrays_zip("obs", "gamma")).alias("step", "_s")) \
-        .select("trace", "grp", (F.col("step") + F.col("_before")).cast("long").alias("step"),
-                F.col("_s.obs").alias("obs"), F.col("_s.gamma").alias("posterior"))
+    return found.select("trace", "grp", *keep, "_before", F.posexplode(F.arrays_zip(*arrays)).alias("step", "_s")) \
+        .select("trace", "grp", (F.col("step") + F.col("_before")).cast("long").alias("step"), *keep,
+                *[F.col("_s")[name].alias(name) for name in arrays])
 
 
 def decode_map(seqs: DataFrame, models: DataFrame | None = None, config: TracingConfig = STANDARD) -> DataFrame:
@@ -397,7 +402,16 @@ def decode_map(seqs: DataFrame, models: DataFrame | None = None, config: Tracing
 
 
 def viterbi(seqs: DataFrame, models: DataFrame | None = None, config: TracingConfig = STANDARD) -> DataFrame:
-    """Most likely state path: trace, grp, seg, path, log score of the whole sequence."""
+    """Most likely state path, a row per answer whether or not sequences are cut: trace, grp, step, score, state.
+
+    ``score`` is the log score of the whole path.
+    """
+    found = _paths(seqs, models, config).withColumnRenamed("path", "state")
+    return answer_rows(found, ["score"], ["state"], is_split(seqs))
+
+
+def _paths(seqs: DataFrame, models: DataFrame | None, config: TracingConfig) -> DataFrame:
+    """A row per sequence or piece: trace, grp, seg, obs, A, pi, path, score."""
     offset = config.offset_predict
     keep = ["trace", "grp", "seg", "obs", "A", "pi"]
     found = batch_input(with_models(seqs, models, config), config)
@@ -505,7 +519,7 @@ def _piece_frame(row, **columns):
 def predict_viterbi(seqs: DataFrame, models: DataFrame | None = None,
                     config: TracingConfig = STANDARD) -> DataFrame:
     """Next state = the likeliest move from the last decoded state: trace, grp, next_state, score."""
-    decoded = viterbi(seqs, models, config)
+    decoded = _paths(seqs, models, config)
     last = decoded.groupBy("trace", "grp").agg(
         F.max_by(F.element_at("path", -1), F.coalesce("seg", F.lit(0))).alias("last_state"),
         F.max_by("A", F.coalesce("seg", F.lit(0))).alias("A"), F.max("score").alias("score"))

@@ -51,9 +51,9 @@ def test_viterbi_three_states(spark):
     config = TracingConfig(
         pi=[0.2, 0.4, 0.4], A=[[0.5, 0.2, 0.3], [0.3, 0.5, 0.2], [0.2, 0.3, 0.5]],
         B=[[0.5, 0.5], [0.4, 0.6], [0.7, 0.3]])
-    row = tracing.viterbi(one_sequence(spark, [0, 1, 0]), config=config).first()
-    assert row.path == [2, 2, 2]
-    assert math.exp(row.score) == pytest.approx(0.0147)
+    rows = tracing.viterbi(one_sequence(spark, [0, 1, 0]), config=config).orderBy("step").collect()
+    assert [row.state for row in rows] == [2, 2, 2]
+    assert math.exp(rows[0].score) == pytest.approx(0.0147)
 
 
 # Answer patterns of a five-item attitude survey and how often each occurs.
