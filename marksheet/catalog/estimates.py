@@ -41,12 +41,18 @@ def rated(spark, sf_dir):
     return scoring.with_parameters(answers, None, items)
 
 
-@query("theta_mle", with_views("rated", f"SELECT user_id, {r('theta', 'theta')} FROM t15", theta_rounds(15, None)))
+def theta_sql(prior: tuple[float, float] | None) -> str:
+    last = ability.ROUNDS
+    return with_views("rated", f"""SELECT user_id, {r('n.theta', 'theta')}, abs(n.theta - o.theta) <= {ability.TOL!r}::DOUBLE AS converged
+    FROM t{last} n JOIN t{last - 1} o USING (user_id)""", theta_rounds(last, prior))
+
+
+@query("theta_mle", theta_sql(None))
 def theta_mle(spark, sf_dir):
     return ability.theta_mle(rated(spark, sf_dir))
 
 
-@query("theta_map", with_views("rated", f"SELECT user_id, {r('theta', 'theta')} FROM t15", theta_rounds(15, (0.5, 1.5))))
+@query("theta_map", theta_sql((0.5, 1.5)))
 def theta_map(spark, sf_dir):
     return ability.theta_map(rated(spark, sf_dir), 0.5, 1.5)
 

@@ -1,7 +1,8 @@
 """Ability estimation with given item parameters.
 
 Answers carry their item's a, b, c.  A learner's answers are put into an array only up to
-``MAX_ANSWERS``; learners with more are estimated by rounds of combinable sums.
+``MAX_ANSWERS``; learners with more are estimated by rounds of combinable sums.  Both ways stop for
+a learner whose ability moves by ``tol`` or less, and tell in ``converged`` whether that was reached.
 """
 from __future__ import annotations
 
@@ -18,7 +19,8 @@ from marksheet.plans.lineage import RoundTable, cut_lineage
 from marksheet.plans.skew import skew_join
 
 MAX_ANSWERS = 8192
-ROUNDS = 15
+ROUNDS = 30
+TOL = 1e-10
 STEP = 1.0
 
 
@@ -39,23 +41,24 @@ def newton(theta: Column, gradient: Column, information: Column, mu, sigma) -> C
     return lg.clip(theta + step, lg.THETA_BOUNDS)
 
 
-def _estimate(answers: DataFrame, mu, sigma, form, D, rounds, max_answers, start) -> DataFrame:
+def _estimate(answers: DataFrame, mu, sigma, form, D, rounds, max_answers, start, tol) -> DataFrame:
     rows = answered(answers).select("user_id", "a", "b", "c", "answer")
     counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     longest = counts.agg(F.max("_n")).first()[0]
     if longest is None or longest <= max_answers:
-        return _from_arrays(rows, mu, sigma, form, D, rounds, start)
+        return _from_arrays(rows, mu, sigma, form, D, rounds, start, tol)
     long_users = counts.filter(F.col("_n") > max_answers).select("user_id", F.lit(True).alias("_long"))
     flagged = cut_lineage(skew_join(rows, long_users, ["user_id"]), "answers")
-    whole = _from_arrays(flagged.filter("_long is null"), mu, sigma, form, D, rounds, start)
-    return whole.unionByName(_from_sums(flagged.filter("_long"), mu, sigma, form, D, rounds, start))
+    whole = _from_arrays(flagged.filter("_long is null"), mu, sigma, form, D, rounds, start, tol)
+    return whole.unionByName(_from_sums(flagged.filter("_long"), mu, sigma, form, D, rounds, start, tol))
 
 
-def _from_arrays(rows: DataFrame, mu, sigma, form, D, rounds, start) -> DataFrame:
+def _from_arrays(rows: DataFrame, mu, sigma, form, D, rounds, start, tol) -> DataFrame:
     """All Newton rounds of many learners at once, on the flat answers of an Arrow batch."""
     numbers = F.struct(*[F.col(c).cast("double").alias(c) for c in ("a", "b", "c", "answer")])
     collected = rows.groupBy("user_id").agg(F.collect_list(numbers).alias("_r"))
-    schema = T.StructType([rows.schema["user_id"], T.StructField("theta", T.DoubleType())])
+    schema = T.StructType([rows.schema["user_id"], T.StructField("theta", T.DoubleType()),
+                           T.StructField("converged", T.BooleanType())])
     low, high = lg.THETA_BOUNDS
 
     def run(batches):
@@ -69,7 +72,11 @@ def _from_arrays(rows: DataFrame, mu, sigma, form, D, rounds, start) -> DataFram
             slope = a if form == "intercept" else D * a
             shift = b if form == "intercept" else -slope * b
             theta = np.full(len(lengths), float(start))
+            moved = np.full(len(lengths), np.inf)
             for _ in range(rounds):
+                active = moved > tol
+                if not active.any():
+                    break
                 p = c + (1 - c) / (1 + np.exp(-(slope * np.repeat(theta, lengths) + shift)))
                 rise = slope * (p - c) / (1 - c)
                 gradient = np.add.reduceat(rise * (y - p) / p, starts)
@@ -78,35 +85,44 @@ def _from_arrays(rows: DataFrame, mu, sigma, form, D, rounds, start) -> DataFram
                     gradient -= (theta - mu) / sigma ** 2
                     information += 1 / sigma ** 2
                 step = np.divide(gradient, information, out=np.zeros_like(theta), where=information != 0)
-                theta = np.clip(theta + np.clip(step, -STEP, STEP), low, high)
-            yield pa.RecordBatch.from_arrays([batch.column("user_id"), pa.array(theta)], names=["user_id", "theta"])
+                new = np.clip(theta + np.clip(step, -STEP, STEP), low, high)
+                moved = np.where(active, np.abs(new - theta), moved)
+                theta = np.where(active, new, theta)
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), pa.array(theta), pa.array(moved <= tol)],
+                                             names=["user_id", "theta", "converged"])
 
     return collected.mapInArrow(run, schema)
 
 
-def _from_sums(rows: DataFrame, mu, sigma, form, D, rounds, start) -> DataFrame:
+def _from_sums(rows: DataFrame, mu, sigma, form, D, rounds, start, tol) -> DataFrame:
     state = RoundTable(rows.sparkSession, "theta")
-    theta = state.put(rows.select("user_id").distinct().withColumn("theta", F.lit(float(start))))
+    theta = state.put(rows.select("user_id").distinct().withColumns(
+        {"theta": F.lit(float(start)), "moved": F.lit(float("inf"))}))
+    g, h = score_terms(*[F.col(c) for c in ("theta", "a", "b", "c", "answer")], form, D)
+    new = F.when(F.col("moved") > tol, newton(F.col("theta"), F.col("g"), F.col("h"), mu, sigma)).otherwise(F.col("theta"))
     for _ in range(rounds):
-        g, h = score_terms(*[F.col(c) for c in ("theta", "a", "b", "c", "answer")], form, D)
         sums = skew_join(rows, theta, ["user_id"], "inner").groupBy("user_id").agg(
-            F.first("theta").alias("theta"), F.sum(g).alias("g"), F.sum(h).alias("h"))
-        theta = state.put(sums.select("user_id", newton(F.col("theta"), F.col("g"), F.col("h"), mu, sigma)
-                                      .alias("theta")))
-    return theta
+            F.first("theta").alias("theta"), F.first("moved").alias("moved"), F.sum(g).alias("g"), F.sum(h).alias("h"))
+        theta = state.put(sums.select("user_id", new.alias("theta"), F.abs(new - F.col("theta")).alias("moved")))
+        if theta.filter(F.col("moved") > tol).isEmpty():
+            break
+    return theta.select("user_id", "theta", (F.col("moved") <= tol).alias("converged"))
 
 
 def theta_mle(answers: DataFrame, form: str = "difficulty", D: float = 1.0, rounds: int = ROUNDS,
-              max_answers: int = MAX_ANSWERS, start: float = 0.0) -> DataFrame:
-    """Maximum-likelihood ability per learner; all-right and all-wrong learners reach the bounds."""
-    return _estimate(answers, None, None, form, D, rounds, max_answers, start)
+              max_answers: int = MAX_ANSWERS, start: float = 0.0, tol: float = TOL) -> DataFrame:
+    """Maximum-likelihood ability per learner: user_id, theta, converged.
+
+    All-right and all-wrong learners reach the bounds, where they count as converged.
+    """
+    return _estimate(answers, None, None, form, D, rounds, max_answers, start, tol)
 
 
 def theta_map(answers: DataFrame, mu: float = 0.0, sigma: float = 1.0, form: str = "difficulty",
               D: float = 1.0, rounds: int = ROUNDS, max_answers: int = MAX_ANSWERS,
-              start: float = 0.0) -> DataFrame:
-    """Ability per learner with a normal prior."""
-    return _estimate(answers, float(mu), float(sigma), form, D, rounds, max_answers, start)
+              start: float = 0.0, tol: float = TOL) -> DataFrame:
+    """Ability per learner with a normal prior: user_id, theta, converged."""
+    return _estimate(answers, float(mu), float(sigma), form, D, rounds, max_answers, start, tol)
 
 
 def theta_gradient_information(responses: DataFrame, users: DataFrame, items: DataFrame,
