@@ -22,15 +22,25 @@ OUT = 1 << 19           # ids in one Arrow batch, about
 SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoder of a rank file, and the bytes of every id; once for each Python worker."""
+def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    pieces = np.empty(max(ranks.values(), default=-1) + 1, object)
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, pattern: str) -> tiktoken.Encoding:
+    """The encoder of a rank file; once for each Python worker."""
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def pieces(path: str) -> np.ndarray:
+    """The bytes of every id of a rank file; all that a worker needs to decode."""
+    ranks = _ranks(path)
+    found = np.empty(max(ranks.values(), default=-1) + 1, object)
     for token, rank in ranks.items():
-        pieces[rank] = token
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), pieces
+        found[rank] = token
+    return found
 
 
 def blocks(text: str, size: int = LONG) -> Iterator[str]:
@@ -51,7 +61,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     schema = T.StructType([id_field(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def batch(columns):
-        encoder, _ = encoding(path, pattern)
+        to_ids = encoder(path, pattern).encode_ordinary
         names, found, held = [], [], 0
 
         def full():
@@ -60,7 +70,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             return {id_col: pa.array(names, columns[id_col].type), "ids": pa.ListArray.from_arrays(ends, flat)}
 
         for name, text in zip(columns[id_col], columns[text_col]):
-            parts = [np.array(encoder.encode_ordinary(part), np.int32) for part in blocks(text.as_py() or "")]
+            parts = [np.array(to_ids(part), np.int32) for part in blocks(text.as_py() or "")]
             names.append(name.as_py())
             found.append(np.concatenate(parts))
             held += len(found[-1])
@@ -73,16 +83,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return map_texts(docs, [id_col, text_col], schema, batch)
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
+def decode(ids: Column, path: str) -> Column:
     """The raw bytes of an array of ids (null: null).  An id that the rank file lacks is an error."""
 
     @F.arrow_udf(T.BinaryType())
     def to_bytes(column: pa.Array) -> pa.Array:
-        _, pieces = encoding(path, pattern)
+        known = pieces(path)
         out = []
         for ids in column:
             values = ids.values
-            out.append(None if values is None else b"".join(pieces[values.to_numpy(zero_copy_only=False)]))
+            out.append(None if values is None else b"".join(known[values.to_numpy(zero_copy_only=False)]))
         return pa.array(out, pa.binary())
 
     return to_bytes(ids)

@@ -92,14 +92,14 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_digests(bpe.encode(documents(spark, sf_dir), *ranks), *ranks)
+    return bpe_digests(bpe.encode(documents(spark, sf_dir), *ranks), ranks[0])
 
 
-def bpe_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def bpe_digests(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes that they stand for."""
     text = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"),
-                          F.sha2(bpe.decode(F.col("ids"), path, pattern), 256).alias("decoded_sha256"))
+                          F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
 
 
 @query("op4_personal_data")

@@ -40,7 +40,7 @@ def test_mixture_and_tokens(stages, spark, sf_dir):
     copies = {r.doc_id: r.copies for r in mix.mix(stages["near_copies"]).collect() if r.copies}
     taken = {r.doc_id: r["count"] for r in stages["mixture"].groupBy("doc_id").count().collect()}
     assert taken == copies
-    encoder, _ = bpe.encoding(*RANKS)
+    encoder = bpe.encoder(*RANKS)
     n = {r.doc_id: len(encoder.encode_ordinary(r.text)) for r in stages["mixture"].collect()}
     assert {r.doc_id: r.n_tokens for r in stages["tokens"].collect()} == n
     whole = corpus_pipeline.run(spark, sf_dir)
