@@ -7,6 +7,11 @@ the survivors are compared bit by bit.  Pairs meet by equi-joins: 64 bits in fou
 two at least are untouched by two changed bits.  Blocks that many fingerprints share would give
 all pairs of a crowd; a crowd is linked exactly through the centres between its members instead:
 two fingerprints are within two bits if and only if some value is within one bit of both.
+
+``similar_documents`` is the other rule, that of the pipeline: copies share at least ``SIMILAR`` of
+their distinct shingles.  Such pairs differ in ten of 64 fingerprint bits on average and in up to
+twenty, which blocks cannot select, so they meet at equal bands of minimum hashes and their shingles
+are compared.  In a crowd, which shares a band, documents meet at their rarest shingles instead.
 """
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +30,9 @@ from marksheet.llm.components import components
 SHINGLE, BITS, PIVOTS = 3, 2, 16
 CROWD = 32          # fingerprints that share a block pair; more of them meet at centres
 BLOCK = 1 << 16     # shingles counted at a time
+SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+BANDS, ROWS = 32, 4     # minimum hashes; a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8
+MIX = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -121,21 +129,174 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    found = links(distinct, scratch, crowd)
-    # Roots are fingerprints; centres that no document has drop out in the join.
-    member = components(found, scratch).withColumnRenamed("node", "fp").join(distinct, "fp")
-    roots = scratch.keep(member, "members")
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = roots.join(least, "root").select("fp", "component_id")
-    classes = scratch.keep(distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id")), "classes")
+    classes = _classes(distinct, links(distinct, scratch, crowd), "fp", scratch)
     scratch.only(prints, classes)
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _classes(distinct: DataFrame, found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """key and component_id, the least first_id that links reach, of every row of ``distinct``."""
+    # Roots are keys; centres that no document has drop out in the join.
+    member = components(found, scratch).withColumnRenamed("node", key).join(distinct.select(key, "first_id"), key)
+    roots = scratch.keep(member, "members")
+    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    linked = roots.join(least, "root").select(key, "component_id")
+    return scratch.keep(distinct.join(linked, key, "left").select(
+        key, F.coalesce("component_id", "first_id").alias("component_id")), "classes")
+
+
+def shingle_hashes(text: str | None, n: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct n-word shingles in ascending order; of a shorter text all words are one."""
+    words = text.encode().lower().split() if text else []
+    whole, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:max(len(words) - n + 1, 1)] if words else ends
+    digest = xxhash.xxh64_intdigest
+    stops = ends[n - 1:] if len(words) >= n else ends[-1:]
+    return np.unique(np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of minimum hashes; texts without a word have keys of their own."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = (hashes[at:at + 4096, None] ^ MIX[0]) * MIX[1]
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * MIX[1]).min(axis=0))
+    return np.array([xxhash.xxh3_64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))],
+                    np.uint64).view(np.int64)
+
+
+def _set_id(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _bands(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """id, text_key, set_id, n (shingles), keys: one row per row of ``docs``."""
+    schema = T.StructType([id_field(docs, id_col), T.StructField("text_key", T.LongType()), T.StructField("set_id", T.BinaryType()),
+                           T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def batch(columns):
+        ids, sizes, keys = [], [], []
+        for value in columns[text_col]:
+            hashes = shingle_hashes(value.as_py(), n)
+            ids.append(_set_id(hashes))
+            sizes.append(len(hashes))
+            keys.append(band_keys(hashes))
+        yield {id_col: columns[id_col], "text_key": columns["text_key"], "set_id": ids, "n": sizes, "keys": keys}
+
+    return map_texts(docs.withColumn("text_key", F.xxhash64(text_col)), [id_col, "text_key", text_col], schema, batch)
+
+
+def _sets(texts: DataFrame, text_col: str, n: int) -> DataFrame:
+    """set_id and shingles (hashes in ascending order as unsigned numbers)."""
+    schema = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def batch(columns):
+        for value in columns[text_col]:
+            hashes = shingle_hashes(value.as_py(), n)
+            yield {"set_id": [_set_id(hashes)], "shingles": [hashes.view(np.int64)]}
+
+    return map_texts(texts, [text_col], schema, batch)
+
+
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) with the share of their distinct shingles that both hold."""
+    of = lambda side: sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"of_{side}"))
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()),
+                           T.StructField("similarity", T.DoubleType())])
+
+    def batch(columns):
+        found = []
+        for a, b in zip(columns["of_a"], columns["of_b"]):
+            x, y = a.values.to_numpy(), b.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(both / max(len(x) + len(y) - both, 1))
+        yield {"a": columns["a"], "b": columns["b"], "similarity": np.array(found)}
+
+    return map_texts(pairs.join(of("a"), "a").join(of("b"), "b"), ["a", "b", "of_a", "of_b"], schema, batch)
+
+
+def _meeting(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (key, set_id, n) whose key several sets hold, with their number as ``held``."""
+    sizes = scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "sizes")
+    return scratch.keep(members.join(sizes, "key"), "meeting")
+
+
+def _pairs(left: DataFrame, right: DataFrame, least: float, test: Column) -> DataFrame:
+    """Pairs (a < b) of one key whose sizes allow the similarity ``least``."""
+    x, y = F.col("x.set_id"), F.col("y.set_id")
+    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9
+    return left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (x != y) & sizes & test).select(
+        F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _crowd_links(sets: DataFrame, crowded: DataFrame, scratch: Scratch, least: float, crowd: int) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs among the ``crowded`` sets.
+
+    A set of n shingles shares one of its floor((1 - least) n) + 1 rarest with every similar set.  If
+    more than ``crowd`` sets share one, they are compared with the one that shares most; a set similar
+    to it is linked, and only the others are compared with all, as far as the distances to it allow.
+    """
+    shingles = sets.join(crowded, "set_id").select("set_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    shingles = scratch.keep(shingles, "shingles")
+    held = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    rarest = F.row_number().over(Window.partitionBy("set_id").orderBy("held", "key"))
+    rare = scratch.keep(shingles.join(held, "key").withColumn("rank", rarest).filter(
+        (F.col("rank") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1) & (F.col("held") > 1)).select("key", "set_id", "n"), "rare")
+    met = _meeting(rare, scratch)
+    few, many = met.filter(F.col("held") <= crowd), met.filter(F.col("held") > crowd)
+    shared = many.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
+    centres = many.join(shared, "set_id").groupBy("key").agg(F.max(F.struct("shared", "set_id")).alias("c")).select(
+        "key", F.col("c.set_id").alias("a"))
+    around = scratch.keep(many.join(scratch.keep(centres, "centres"), "key"), "around")
+    near = scratch.keep(_similarities(around.filter("a != set_id").select("a", F.col("set_id").alias("b")).distinct(), sets), "near")
+    far = scratch.keep(around.withColumnRenamed("set_id", "b").join(near, ["a", "b"]).select(
+        "key", F.col("b").alias("set_id"), "n", F.col("similarity").alias("s")), "far")
+    # 1 - similarity is a metric, so similar sets are about as far from the centre.
+    rest = _pairs(far.filter(F.col("s") < least - 1e-9), far, least, F.abs(F.col("x.s") - F.col("y.s")) <= 1 - least + 1e-9)
+    both = scratch.keep(_pairs(few, few, least, F.col("x.set_id") < F.col("y.set_id")).union(rest).distinct(), "rare_pairs")
+    return scratch.keep(near.union(_similarities(both, sets)).filter(F.col("similarity") >= least - 1e-9).select("a", "b"), "crowd_links")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SIMILAR_SHINGLE,
+                      least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+    """One row per row of ``docs``: id and component_id, the smallest id that links of similar texts reach.
+
+    Texts are similar if at least ``least`` of their distinct n-word shingles, A-Z in lower case, are
+    in both.  Texts without a word are similar to each other only.
+    """
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.keep(_bands(docs, id_col, text_col, n).withColumnRenamed(id_col, "id"), "bands")
+    distinct = scratch.keep(prints.groupBy("set_id").agg(F.min("id").alias("first_id"), F.min("text_key").alias("text_key"),
+                                                         F.min("n").alias("n"), F.min("keys").alias("keys")), "distinct")
+    met = _meeting(distinct.select("set_id", "n", F.explode("keys").alias("key")), scratch)
+    few = met.filter(F.col("held") <= crowd)
+    pairs = scratch.keep(_pairs(few, few, least, F.col("x.set_id") < F.col("y.set_id")).distinct(), "pairs")
+    crowded = scratch.keep(met.filter(F.col("held") > crowd).select("set_id").distinct(), "crowded")
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded).distinct()
+    texts = scratch.keep(distinct.join(wanted, "set_id").select("text_key").distinct(), "wanted")
+    sets = scratch.keep(_sets(docs.withColumn("text_key", F.xxhash64(text_col)).join(texts, "text_key", "left_semi"), text_col, n)
+                        .dropDuplicates(["set_id"]), "sets")
+    scratch.drop(met, texts)
+    found = scratch.keep(_similarities(pairs, sets).filter(F.col("similarity") >= least - 1e-9).select("a", "b").union(
+        _crowd_links(sets, crowded, scratch, least, crowd)), "similar")
+    classes = _classes(distinct, found, "set_id", scratch)
+    scratch.only(prints, classes)
+    return prints.join(classes, "set_id").select(F.col("id").alias(id_col), "component_id")
+
+
+def _drop_copies(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    stay = marked.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay_id")).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi").dropDuplicates([id_col, text_col])
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; of repeated rows one stays."""
-    stay = near_duplicates(docs, id_col, text_col).filter(F.col("component_id").eqNullSafe(F.col(id_col))) \
-        .select(F.col(id_col).alias("_stay_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi").dropDuplicates([id_col, text_col])
+    return _drop_copies(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SIMILAR_SHINGLE,
+                 least: float = SIMILAR) -> DataFrame:
+    """The same with the components of ``similar_documents``."""
+    return _drop_copies(docs, similar_documents(docs, id_col, text_col, n, least), id_col, text_col)

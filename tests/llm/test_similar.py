@@ -1,0 +1,45 @@
+"""Similar documents against all pairs by brute force."""
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+import corpus_pipeline
+from marksheet.llm import near
+from test_text_operators import plain_components
+
+
+def plain_shingles(text, n=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i:i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set()
+
+
+def plain_roots(texts):
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    return plain_components(texts, [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
+
+
+def test_stage_drops_what_is_similar_by_brute_force(spark, sf_dir):
+    rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    want = plain_roots({r["doc_id"]: r["text"] for r in rows})
+    stage = corpus_pipeline.near_copies(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert sorted(r.doc_id for r in stage.collect()) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_crowds_of_edited_copies(spark, crowd):
+    draw = np.random.default_rng(3)
+    texts = {}
+    for base in range(3):
+        words = [f"w{x}" for x in draw.integers(0, 400, 150)]
+        for _ in range(50):
+            copy = list(words)
+            for at in draw.choice(150, draw.integers(0, 9), replace=False):
+                copy[at] = f"x{draw.integers(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {1000: "Two words", 1001: "two  WORDS", 1002: "two other", 1003: "", 1004: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.similar_documents(docs, crowd=crowd).collect()}
+    want = plain_roots(texts)
+    assert got == want
+    assert 5 < len(set(want.values())) < 140
