@@ -3,7 +3,7 @@
 Patterns give the base spans, which stay.  Nodes of a document's field are its base spans (their
 label is observed) and the other words that hold a digit or an at sign.  Neighbouring nodes share a
 chain potential; nodes with the same key (the last digits of a number, the local part of an
-address) share a skip potential wherever they stand.  Loopy sum-product makes labels consistent
+address) share a skip potential with the base spans of that key, or with its first node if it has none.  Loopy sum-product makes labels consistent
 over the document, and words that become likelier personal than not are added.
 
 The factors are trained piecewise: each is a smoothed log-ratio of counts over the whole corpus,
@@ -26,7 +26,7 @@ from marksheet.llm.common import id_field, map_texts
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)                  # the label of all else
 LABELS = OTHER + 1
-ROUNDS, TOLERANCE, DAMPING = 30, 1e-4, 0.3
+ROUNDS, TOLERANCE, DAMPING = 1000, 1e-4, 0.3    # rounds end at the tolerance; find tells where they do not
 SMOOTH = 1.0
 AGREE = 20.0                        # pseudo-count of each equal pair of labels on skip edges: copies agree
 OBSERVED = 1e6                      # potential of an observed label
@@ -104,13 +104,20 @@ class Field:
         self.features = [feature(text[s:e]) for s, e, _ in self.nodes]
         self.chain = [i for i in range(1, len(self.nodes))
                       if not text[self.nodes[i - 1][1]:self.nodes[i][0]].strip(EDGE + " \t\n\r\x0b\x0c")]
-        last: dict[tuple[str, str], int] = {}
         self.skip, self.keys = [], [keys(text[s:e]) for s, e, _ in self.nodes]
+        hubs: dict[tuple[str, str], dict[int, int]] = {}    # of a key: the first base span of each kind
+        first: dict[tuple[str, str], int] = {}
         for i, own in enumerate(self.keys):
             for key in own:
-                if key in last:             # each occurrence to the one before: linear in the copies
-                    self.skip.append((last[key], i))
-                last[key] = i
+                first.setdefault(key, i)
+                if self.nodes[i][2] >= 0:
+                    hubs.setdefault(key, {}).setdefault(self.nodes[i][2], i)
+        for i, own in enumerate(self.keys):
+            for key in own:                 # each occurrence to its hubs: linear in the copies, one step away
+                at = hubs[key].values() if key in hubs else [first[key]]
+                if self.nodes[i][2] >= 0:
+                    at = list(at)[:1]
+                self.skip += [(hub, i) for hub in at if hub != i]
 
     @staticmethod
     def _words(text: str) -> Iterator[re.Match]:
@@ -181,7 +188,11 @@ def potentials(counts: dict[tuple[str, int, int], int]) -> dict[str, np.ndarray]
 
 
 def marginals(field: Field, model: dict[str, np.ndarray]) -> np.ndarray:
-    """Beliefs (nodes x labels) by damped loopy sum-product in logarithms, all messages at once."""
+    """Beliefs (nodes x labels) by damped loopy sum-product in logarithms, all messages at once.
+
+    ``field.converged`` tells whether the messages settled.
+    """
+    field.converged = True
     unary = model["unary"][field.features]
     seen = np.array([s for _, _, s in field.nodes])
     unary[seen >= 0] = -OBSERVED
@@ -206,6 +217,8 @@ def marginals(field: Field, model: dict[str, np.ndarray]) -> np.ndarray:
         moved, messages = np.abs(new - messages).max(), new
         if moved < TOLERANCE:
             break
+    else:
+        field.converged = False
     belief = unary.copy()
     np.add.at(belief, target, messages)
     return _normal(belief)
@@ -218,33 +231,41 @@ def _normal(log_weights: np.ndarray) -> np.ndarray:
 
 def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> list[Span]:
     """Words that are likelier of one kind than of all other labels together."""
+    return infer(text, base, model)[0]
+
+
+def infer(text: str, base: list[Span], model: dict[str, np.ndarray]) -> tuple[list[Span], bool]:
+    """The added spans, and whether the messages settled."""
     field = Field(text, base)
     if all(seen >= 0 for _, _, seen in field.nodes):
-        return []
+        return [], True
     beliefs = marginals(field, model)
     return [(start, int(row.argmax()), end) for (start, end, seen), row in zip(field.nodes, beliefs)
-            if seen < 0 and row.argmax() != OTHER and row.max() > 0.5]
+            if seen < 0 and row.argmax() != OTHER and row.max() > 0.5], field.converged
 
 
 def find(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base and all: arrays of (kind, start, end), one row per row of ``docs``.
+    """id, base and all: arrays of (kind, start, end), and converged, one row per row of ``docs``.
 
     Offsets are code points, ends exclusive, in the order of start, then kind.  A null text counts as
     empty and has no spans.  Repeated rows give a row each; an empty table an empty table.
+    converged is false where the messages of a document still moved after ``ROUNDS`` rounds.
     """
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                      T.StructField("end", T.LongType())]))
-    schema = T.StructType([id_field(docs, id_col), T.StructField("base", span), T.StructField("all", span)])
+    schema = T.StructType([id_field(docs, id_col), T.StructField("base", span), T.StructField("all", span),
+                           T.StructField("converged", T.BooleanType())])
     named = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
 
     def batch(columns):
-        base, both = [], []
+        base, both, settled = [], [], []
         for value in columns[text_col]:
             text = value.as_py() or ""
             own = base_spans(text) if SIGN.search(text) else []
-            more = added_spans(text, own, model) if SIGN.search(text) else []
+            more, done = infer(text, own, model) if SIGN.search(text) else ([], True)
             base.append(named(own))
             both.append(named(sorted({*own, *more})))
-        yield {id_col: columns[id_col], "base": base, "all": both}
+            settled.append(done)
+        yield {id_col: columns[id_col], "base": base, "all": both, "converged": settled}
 
     return map_texts(docs, [id_col, text_col], schema, batch)
