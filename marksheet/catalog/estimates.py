@@ -183,12 +183,12 @@ def item_mle(spark, sf_dir):
     return calibration.item_mle(answers, users, start, "2PL")
 
 
-def _flat(items, users):
-    """Estimated items and abilities in one table."""
+def _flat(items, users, *more):
+    """Estimated items and abilities in one table, with the columns ``more`` of both."""
     return items.select(F.col("item_id").alias("key"), F.lit("item").alias("kind"),
-                        F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).unionByName(
+                        F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), *more).unionByName(
         users.select(F.col("user_id").cast("string").alias("key"), F.lit("learner").alias("kind"),
-                     F.lit(None).cast("string").alias("a"), F.col("theta").cast("string").alias("b")))
+                     F.lit(None).cast("string").alias("a"), F.col("theta").cast("string").alias("b"), *more))
 
 
 @query("fit_mhrm")
@@ -203,17 +203,17 @@ def fit_mh_mle(spark, sf_dir):
 
 @query("fit_bayes_modal")
 def fit_bayes_modal(spark, sf_dir):
-    items, users, _ = joint.fit_bayes_modal(views.answers(spark, sf_dir), "3PL", rounds=4)
-    return _flat(items, users)
+    items, users, _ = joint.fit_bayes_modal(views.answers(spark, sf_dir), "3PL")
+    return _flat(items, users, "converged")
 
 
 @query("fit_mirt_modal")
 def fit_mirt_modal(spark, sf_dir):
-    items, users, _ = joint.fit_mirt_modal(views.answers(spark, sf_dir), 2, "M2PL", rounds=3)
-    return _flat(items, users)
+    items, users, _ = joint.fit_mirt_modal(views.answers(spark, sf_dir), 2, "M2PL")
+    return _flat(items, users, "converged")
 
 
 @query("fit_mirt_nc_modal")
 def fit_mirt_nc_modal(spark, sf_dir):
-    items, users, _ = joint.fit_mirt_nc_modal(views.answers(spark, sf_dir), 2, "M3PLN", rounds=3)
-    return _flat(items, users)
+    items, users, _ = joint.fit_mirt_nc_modal(views.answers(spark, sf_dir), 2, "M3PLN")
+    return _flat(items, users, "converged")

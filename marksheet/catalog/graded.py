@@ -54,5 +54,5 @@ def grm_mstep(spark, sf_dir):
 
 @query("fit_grm")
 def fit_grm(spark, sf_dir):
-    items, _ = graded.fit_grm(views.scores(spark, sf_dir), max_rounds=5)
+    items, _ = graded.fit_grm(views.scores(spark, sf_dir))
     return items

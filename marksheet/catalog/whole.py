@@ -32,4 +32,4 @@ def kt_compare(spark, sf_dir):
 
 @query("irt_train_eval")
 def irt_train_eval(spark, sf_dir):
-    return wf.irt_train_eval(views.answers(spark, sf_dir), ["item_id", "user_id"], max_rounds=2)
+    return wf.irt_train_eval(views.answers(spark, sf_dir), ["item_id", "user_id"])
