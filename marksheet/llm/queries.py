@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marksheet.llm import bpe, exact, langid, lm, mix, near, passages, pii, ranking, rules
+from marksheet.llm import bpe, centroids, exact, langid, lm, mix, near, passages, pieces, pii, prefixes, ranking, rules
 from marksheet.llm.common import Scratch, documents, held_out
 
 QUERIES = {}
@@ -155,3 +155,72 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
   sha256(t) AS text_sha256 FROM folded WINDOW g AS (PARTITION BY t)""")
 def chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(documents(spark, sf_dir))
+
+
+# crc32 bit by bit: the first of a byte's eight steps brings in the byte.
+_CRC = """CAST(xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({x}, ''),
+    lambda b: [ascii(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, e: xor(xor(a, e) >> 1, 3988292384::BIGINT * (xor(a, e) & 1))), 4294967295::BIGINT) AS BIGINT)"""
+
+
+@query("op11_prefix_trie", f"""
+WITH original AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT DISTINCT c, c - c % 5 AS base, {_CRC.format(x="CAST(c AS VARCHAR)")} % 9 AS h FROM original),
+joined AS (
+  SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN original o ON o.c = convs.base AND o.pos < convs.h
+  UNION ALL SELECT convs.c, 1, pos, role, text FROM convs JOIN original o ON o.c = convs.c AND o.pos >= convs.h),
+turns AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, role, text FROM joined),
+paths AS MATERIALIZED (
+  SELECT c, depth, text, sha256(CAST(list({{'r': role, 't': text}}) OVER (PARTITION BY c ORDER BY depth) AS VARCHAR)) AS node FROM turns
+  UNION ALL SELECT c, 0, '', 'root' FROM convs),
+linked AS MATERIALIZED (SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS ends FROM paths WINDOW w AS (PARTITION BY c ORDER BY depth)),
+nodes AS MATERIALIZED (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * octet_length(encode(any_value(text))) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM linked GROUP BY node),
+counted AS MATERIALIZED (SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.parent = n.node) AS n_children FROM nodes n),
+below AS (
+  SELECT up.node, count(*) FILTER (down.n_children = 0) AS n_leaves, sum(down.own)::BIGINT AS saved_tokens
+  FROM paths up JOIN counted down ON up.c = down.conv_id
+    JOIN paths at_down ON at_down.c = down.conv_id AND at_down.node = down.node AND at_down.depth >= up.depth GROUP BY up.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM counted n JOIN below b USING (node) LEFT JOIN nodes p ON n.parent = p.node""")
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node", "parent")
+
+
+@query("op12_piece_agenda")
+def piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return pieces.encode(documents(spark, sf_dir), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), path), 256).alias("decoded_sha256"), "agrees")
+
+
+_ROUND = """
+near{i} AS MATERIALIZED (
+  SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM cells v JOIN centre{i} c USING (i) GROUP BY v.r, c.k) GROUP BY r),"""
+_MOVE = """
+centre{j} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM centre{i} c LEFT JOIN (
+    SELECT k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM cells JOIN near{i} USING (r) GROUP BY k, i) m
+  ON c.k = m.k AND c.i = m.i),"""
+
+
+@query("op13_pca_centroids", f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+cells AS MATERIALIZED (SELECT r, unnest(v) AS x, unnest(range(64)) AS i FROM kept),
+chosen AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k FROM kept
+  ORDER BY k LIMIT 40),
+centre0 AS MATERIALIZED (SELECT k, i, x FROM chosen JOIN cells USING (r)),"""
+       + "".join(_ROUND.format(i=i) + _MOVE.format(i=i, j=i + 1) for i in range(5)) + _ROUND.format(i=5) + """
+digests AS (SELECT k, sha256(string_agg(CAST(x::BIGINT AS VARCHAR), ',' ORDER BY i)) AS s FROM centre5 GROUP BY k)
+SELECT vec_id, n.k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY n.k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, s AS centroid_sha256 FROM near5 n JOIN kept USING (r) JOIN digests g ON n.k = g.k""")
+def pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
