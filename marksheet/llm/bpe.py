@@ -20,6 +20,8 @@ OUT = 1 << 19           # ids in one Arrow batch, about
 #: No match of the pattern spans the place between a word character or punctuation and a blank or
 #: line break: a match holds white space only at its start, or nothing else.
 SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
+#: Runs of white space (as Unicode has it) that the pattern's engine would need a deep stack for.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -52,16 +54,33 @@ def blocks(text: str, size: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def to_ids(text: str, known: tiktoken.Encoding) -> list[np.ndarray]:
+    """The ids of a text, in parts.
+
+    In a run of white space all but the last character are one match of the pattern, or all at the end
+    of the text, so a long run is merged as one piece and never meets the pattern.
+    """
+    found, at = [], 0
+    for run in RUN.finditer(text) if len(text) >= 4096 else ():
+        end = run.end() - (run.end() < len(text))
+        found += [known.encode_ordinary(part) for part in blocks(text[at:run.start()])]
+        found.append(known._core_bpe.encode_single_piece(run[0][:end - run.start()].encode()))
+        at = end
+    found += [known.encode_ordinary(part) for part in blocks(text[at:])]
+    return [np.array(ids, np.int32) for ids in found]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int), one row per row of ``docs``, without special tokens.
 
-    Null and empty texts give an empty array.  A text of any length is encoded whole; one without a
+    Null and empty texts give an empty array, repeated rows and null ids a row each, an empty table an
+    empty one; other columns are ignored.  A text of any length is encoded whole; one without a
     safe place to cut goes through the encoder in one piece.
     """
     schema = T.StructType([id_field(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def batch(columns):
-        to_ids = encoder(path, pattern).encode_ordinary
+        known = encoder(path, pattern)
         names, found, held = [], [], 0
 
         def full():
@@ -70,9 +89,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             return {id_col: pa.array(names, columns[id_col].type), "ids": pa.ListArray.from_arrays(ends, flat)}
 
         for name, text in zip(columns[id_col], columns[text_col]):
-            parts = [np.array(to_ids(part), np.int32) for part in blocks(text.as_py() or "")]
             names.append(name.as_py())
-            found.append(np.concatenate(parts))
+            found.append(np.concatenate(to_ids(text.as_py() or "", known)))
             held += len(found[-1])
             if held >= OUT:
                 yield full()

@@ -37,6 +37,54 @@ def id_field(df: DataFrame, id_col: str) -> T.StructField:
     return T.StructField(id_col, df.schema[id_col].dataType)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, in any case."""
+    prefix = "_w"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def text_key(text: Column) -> Column:
+    """64 bits of a text that tell rows with one id apart; null for null."""
+    return F.xxhash64(text)
+
+
+def matching_rows(docs: DataFrame, wanted: DataFrame, keys: dict[str, Column], carry: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (null equals null) are a row of ``wanted``, one for each.
+
+    ``wanted`` has a unique row per key, with ``n``, the number of rows of ``docs`` that have it.  Where
+    it is over one any of them stays; only those are shuffled a second time, after a partial choice.  The
+    columns are those of ``docs``, whatever their names, and with ``carry`` a struct of these columns of
+    ``wanted`` in front.
+    """
+    prefix = free_prefix(docs)
+    own = [f"{prefix}_{k}" for k in keys]
+    marked = docs.withColumns(dict(zip(own, keys.values())))
+    found = F.lit(True)
+    for name, key in zip(own, keys):
+        found = found & F.col(name).eqNullSafe(F.col(f"{prefix}w_{key}"))
+    extra = F.struct(*[F.col(f"{prefix}w_{c}").alias(c) for c in carry or []]).alias(f"{prefix}_carry")
+    columns = ([extra] if carry else []) + [quoted(c) for c in docs.columns]
+
+    def joined(part: DataFrame) -> DataFrame:
+        right = part.select(*[F.col(c).alias(f"{prefix}w_{c}") for c in [*keys, *(carry or [])]])
+        return marked.join(right, found, "inner" if carry else "left_semi")
+
+    single = joined(wanted.filter("n = 1")).select(*columns)
+    repeated = wanted.filter("n > 1")
+    if repeated.isEmpty():
+        return single
+    # One row a key, by a combinable choice, so that a hot key meets nowhere.
+    one = joined(repeated).groupBy(*own).agg(F.first(F.struct(*columns)).alias(f"{prefix}_row"))
+    return single.union(one.select(F.col(f"{prefix}_row.*")))
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: T.StructType,
               batch: Callable[[dict[str, pa.Array]], Iterator[dict]]) -> DataFrame:
     """``df[columns]`` through ``batch``, an Arrow batch at a time; ``batch`` yields columns of ``schema``."""

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marksheet.llm.common import Scratch, fold
+from marksheet.llm.common import Scratch, fold, matching_rows, quoted
 
 #: A chunk ends at the first sentence end or line break after LEAST characters, or at MOST.
 LEAST, MOST = 1024, 8192
@@ -84,13 +84,13 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
-    sha = "_text_sha256"
-    while sha in docs.columns:
-        sha = "_" + sha
-    stay = mark_copies(docs, id_col, text_col).filter("kept").select(
-        F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    folded = fold(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn(sha, F.sha2(folded.cast("binary"), 256))
-    found = F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col(sha) == F.col("_stay_sha"))
-    return marked.join(stay, found, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeated rows one stays.
+
+    Null and empty texts are copies of each other.  Null ids stay only where a group has no other.  An
+    empty table gives an empty table.  Texts are shuffled once.
+    """
+    scratch = Scratch(docs.sparkSession)
+    stay = scratch.keep(mark_copies(docs, id_col, text_col).filter("kept").groupBy(
+        quoted(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n")), "staying")
+    folded = fold(F.coalesce(quoted(text_col), F.lit("")))
+    return matching_rows(docs, stay, {"id": quoted(id_col), "sha": F.sha2(folded.cast("binary"), 256)})

@@ -12,11 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksheet.llm.common import id_field, map_texts
+from marksheet.llm.common import id_field, map_texts, quoted
 
 BINS = 1 << 14
 BLOCK = 1 << 20         # characters hashed at a time
@@ -126,6 +126,35 @@ def mixture(counts: np.ndarray, log_table: np.ndarray, penalty: float = PENALTY)
     return {int(k): float(s) for k, s in zip(chosen, shares)}
 
 
+def main_language(text: Column, names: list[str], log_table: np.ndarray, penalty: float = PENALTY) -> Column:
+    """The language with the largest proportion, as in ``predict``, as a column: rows need not be joined again."""
+
+    @F.arrow_udf(T.StringType())
+    def top(texts: pa.Array) -> pa.Array:
+        found = []
+        for value in texts:
+            counts = trigrams(value.as_py()) if names else None
+            shares = {} if counts is None else {names[k]: s for k, s in mixture(counts, log_table, penalty).items()}
+            found.append(min(shares, key=lambda name: (-shares[name], name), default=NONE))
+        return pa.array(found, pa.string())
+
+    return top(text)
+
+
+def with_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, learned from the labels that ``docs`` holds.
+
+    A text without a letter has none.  If no label is there to learn from, all texts with a letter stay.
+    All columns stay, whatever their names; repeated rows and null ids are rows like any other, and an
+    empty table gives an empty table.  Texts are not shuffled.
+    """
+    text = quoted(text_col)
+    names, log_table = train(docs, text_col, lang_col)
+    if not names:
+        return docs.filter(text.rlike(r"\p{L}"))
+    return docs.filter(main_language(text, names, log_table) != NONE)
+
+
 def predict(docs: DataFrame, names: list[str], log_table: np.ndarray, id_col: str = "doc_id",
             text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """id, lang_pred, score, languages (map of language to proportion), one row per row of ``docs``.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marksheet.llm.common import WORD, Scratch
+from marksheet.llm.common import WORD, Scratch, matching_rows, quoted, text_key
 from marksheet.plans.skew import dense_rank_of, running_totals
 
 WEIGHTS = (1, 2, 3)     # of the sources in order, repeating
@@ -61,39 +61,54 @@ def targets(sources: DataFrame, scratch: Scratch, weights=WEIGHTS, most: int = M
     return known.withColumn("target", F.least(F.col("limit").cast("double"), F.col("weight") * F.lit(first)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken, copies.
-
-    size is the number of words (null text: 0), taken = size * copies.  Null sources are one source,
-    the last.  Documents without words are taken as often as their source is whole.  Rows that
-    repeat an id and text have equal keys and are interchangeable.  A mix without words takes nothing.
-    """
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, most: int, seed: str) -> DataFrame:
+    """id, missing, source, text_key, size, source_size, target, copies: one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
-    text = F.col(text_col)
+    text = quoted(text_col)
     sized = scratch.keep(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).isNull().alias("missing"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("source"), word_count(text).alias("size"),
-        exponential_key(F.col(id_col), quality_weight(text), seed).alias("key")), "sizes")
+        quoted(id_col).alias("id"), *_source(quoted(source_col)), text_key(text).alias("text_key"), word_count(text).alias("size"),
+        exponential_key(quoted(id_col), quality_weight(text), seed).alias("key")), "sizes")
     sources = scratch.keep(sized.groupBy("missing", "source").agg(F.sum("size").alias("source_size")), "source_sizes")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = scratch.keep(targets(sources, scratch, weights, most).withColumn("epochs", epochs.cast("long"))
                         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
                         .select("missing", "source", "rank", "source_size", "target", "epochs", "budget"), "plan")
-    planned = sized.join(plan, ["missing", "source"]).drop("missing", "source")
-    sums = running_totals(planned, ["key", "id", "size"], {"through": "size"}, ["rank"])
+    planned = sized.join(plan, ["missing", "source"])
+    sums = running_totals(planned, ["key", "id", "size", "text_key"], {"through": "size"}, ["rank"])
     taken = F.when((F.col("size") > 0) & (2 * F.col("through") - F.col("size") <= 2 * F.col("budget")), 1).otherwise(0)
-    copies = F.col("epochs") + taken
     scratch.only(sized, plan)
-    return sums.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                       (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return sums.select("id", "missing", "source", "text_key", "size", "source_size", "target", (F.col("epochs") + taken).alias("copies"))
+
+
+def _source(source: Column) -> list[Column]:
+    return [source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("source")]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken, copies.
+
+    size is the number of words (null text: 0), taken = size * copies.  Null sources are one source,
+    the last.  Documents without words are taken as often as their source is whole.  Rows that
+    repeat an id and text have equal keys and are interchangeable.  A mix without words takes nothing.
+    An empty table gives an empty table; other columns are ignored, whatever their names.
+    """
+    found = _taken(docs, id_col, text_col, source_col, weights, most, seed)
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-          **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as it is taken."""
-    copies = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").groupBy(
-        F.col(id_col).alias("_mixed_id")).agg(F.max("copies").alias("_copies"))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return (docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-            .withColumn("_copy", again).select(*[F.col(f"`{c}`") for c in docs.columns]))
+          weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mixture itself: the rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Rows are told apart by id, source and text.  Of rows that repeat all three any one comes as often as
+    all of them are taken.  Nulls, ties and empty tables are as for ``mix``.
+    """
+    scratch = Scratch(docs.sparkSession)
+    keys = {"id": quoted(id_col), **dict(zip(("missing", "source"), _source(quoted(source_col)))), "text_key": text_key(quoted(text_col))}
+    taken = scratch.keep(_taken(docs, id_col, text_col, source_col, weights, most, seed).groupBy(*keys).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).filter("copies > 0"), "copies")
+    rows = matching_rows(docs, taken, keys, ["copies"])
+    carry = rows.columns[0]
+    again = F.explode(F.sequence(F.lit(1), F.col(f"{carry}.copies").cast("int"))).alias(f"{carry}_again")
+    return rows.select(again, *[quoted(c) for c in docs.columns]).drop(f"{carry}_again")

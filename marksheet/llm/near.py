@@ -1,17 +1,16 @@
 """Near duplicates by SimHash fingerprints and pivot distance tables.
 
-Every distinct fingerprint gets its Hamming distances to fixed reference fingerprints.  By the
-triangle inequality two fingerprints within ``BITS`` of each other differ by at most ``BITS`` in
-every one of these distances, so a pair with a larger coordinate difference is discarded and only
-the survivors are compared bit by bit.  Pairs meet by equi-joins: 64 bits in four blocks, of which
-two at least are untouched by two changed bits.  Blocks that many fingerprints share would give
-all pairs of a crowd; a crowd is linked exactly through the centres between its members instead:
-two fingerprints are within two bits if and only if some value is within one bit of both.
-
-``similar_documents`` is the other rule, that of the pipeline: copies share at least ``SIMILAR`` of
-their distinct shingles.  Such pairs differ in ten of 64 fingerprint bits on average and in up to
-twenty, which blocks cannot select, so they meet at equal bands of minimum hashes and their shingles
-are compared.  In a crowd, which shares a band, documents meet at their rarest shingles instead.
+Every distinct fingerprint gets its Hamming distances to many reference fingerprints, the pivots.  By
+the triangle inequality two fingerprints within ``BITS`` of each other differ by at most ``BITS`` in
+every one of these distances, so a pair with a larger coordinate difference is discarded and only the
+survivors are compared bit by bit.
+
+The table also chooses the candidates.  A pivot comes with partners that are its complement outside
+one block of the 64 bits; the sum of the two distances depends on that block alone.  Of four blocks,
+two bits leave two untouched, so the pairs to look at have equal sums in two blocks: an equi-join.
+Where more than ``CROWD`` fingerprints share such a key, their table is refined instead of paired: what
+is left of the bits is cut into four smaller blocks, and again two of them are untouched.  After the last
+level eight bits are left, so a key holds few fingerprints however large the crowd is.
 """
 from __future__ import annotations
 
@@ -20,19 +19,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksheet.llm.common import Scratch, id_field, map_texts
+from marksheet.llm.common import Scratch, id_field, map_texts, matching_rows, quoted, text_key
 from marksheet.llm.components import components
 
-SHINGLE, BITS, PIVOTS = 3, 2, 16
-CROWD = 32          # fingerprints that share a block pair; more of them meet at centres
+SHINGLE, BITS = 3, 2
+PIVOTS = 8          # reference fingerprints; each has a partner for every block
+WIDTHS = (16, 8, 4)     # bits of a block at each level
+CROWD = 32          # fingerprints that share a key; more of them are refined
 BLOCK = 1 << 16     # shingles counted at a time
-SIMILAR_SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 32, 4     # minimum hashes; a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8
-MIX = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -50,253 +48,147 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed long), one row per row of ``docs``."""
-    schema = T.StructType([id_field(docs, id_col), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """id, text_key, fp (the 64 bits as a signed long), one row per row of ``docs``, whatever it repeats.
+
+    A null text, an empty one and one of white space have fingerprint zero.
+    """
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def batch(columns):
-        found = np.fromiter((fingerprint(t.as_py()) for t in columns[text_col]), np.uint64)
-        yield {id_col: columns[id_col], "fp": pa.array(found.view(np.int64))}
+        found = np.fromiter((fingerprint(t.as_py(), n) for t in columns["text"]), np.uint64)
+        yield {"id": columns["id"], "text_key": columns["text_key"], "fp": pa.array(found.view(np.int64))}
 
-    return map_texts(docs, [id_col, text_col], schema, batch)
+    text = quoted(text_col)
+    return map_texts(docs.select(quoted(id_col).alias("id"), text_key(text).alias("text_key"), text.alias("text")),
+                     ["id", "text_key", "text"], schema, batch)
 
 
-def _distances(fp: Column, first: int) -> Column:
-    """Distances to eight reference fingerprints, a byte each."""
+def _distances(fp: Column, flipped: Column) -> Column:
+    """Distances to the pivots with the bits of ``flipped`` turned over, a byte each."""
     packed = F.lit(0).cast("long")
-    for i in range(8):
-        far = F.bit_count(fp.bitwiseXOR(F.xxhash64(F.lit(first + i)))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(far, 8 * i))
+    for i in range(PIVOTS):
+        pivot = F.xxhash64(F.lit(i)).bitwiseXOR(flipped)
+        packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(pivot)).cast("long"), 8 * i))
     return packed
 
 
-def pivot_table(distinct: DataFrame) -> DataFrame:
-    """fp with its distances to all reference fingerprints, eight to a long."""
-    return distinct.select("fp", *[_distances(F.col("fp"), 8 * k).alias(f"t{k}") for k in range(PIVOTS // 8)])
+def _outside(width: int, at: Column) -> Column:
+    """All bits but the ``width`` from ``at`` on."""
+    return F.bitwise_not(F.call_function("shiftleft", F.lit((1 << width) - 1).cast("long"), at))
+
+
+TABLE = [f"t{i}" for i in range(5)]
+
+
+def pivot_table(rows: DataFrame) -> DataFrame:
+    """``rows`` with the distances of fp to all pivots (t0) and to their partners for the four blocks (t1..t4)."""
+    partners = [_distances(F.col("fp"), _outside(WIDTHS[0], F.lit(WIDTHS[0] * i))) for i in range(4)]
+    return rows.withColumns(dict(zip(TABLE, [_distances(F.col("fp"), F.lit(0).cast("long")), *partners])))
+
 
+def _keyed(rows: DataFrame, level: int) -> DataFrame:
+    """fp, key and at (first bits of the four blocks of the next level) for every two blocks that may be untouched."""
+    width, half = WIDTHS[level], WIDTHS[level] // 2
+    at = [F.lit(width * i) if level == 0 else F.col("at")[i] for i in range(4)]
+    # The bytes of a sum stay below 256: eight distances of 64 at most, twice.
+    sums = [F.col("t0") + (F.col(f"t{i + 1}") if level == 0 else _distances(F.col("fp"), _outside(width, at[i]))) for i in range(4)]
+    before = F.lit(0).cast("long") if level == 0 else F.col("key")
+    found = []
+    for number, (i, j) in enumerate(combinations(range(4), 2)):
+        others = [at[k] for k in range(4) if k not in (i, j)]
+        found.append(F.struct(F.xxhash64(before, F.lit(number), sums[i], sums[j]).alias("key"),
+                              F.array(*[start for o in others for start in (o, o + half)]).alias("at")))
+    return rows.withColumn("next", F.explode(F.array(*found))).select("fp", "next.*")
 
-def _survives(bits: int) -> Column:
-    """No coordinate of the two tables differs by more than ``bits``, nor do the fingerprints."""
+
+def _no_farther(bits: int) -> Column:
+    """No coordinate of the two tables differs by more than ``bits``."""
     test = F.lit(True)
-    for k in range(PIVOTS // 8):
-        for i in range(8):
-            x, y = (F.shiftrightunsigned(F.col(f"{s}.t{k}"), 8 * i).bitwiseAND(F.lit(255)) for s in "xy")
+    for t in TABLE:
+        for i in range(PIVOTS):
+            x, y = (F.shiftrightunsigned(F.col(f"{s}.{t}"), 8 * i).bitwiseAND(F.lit(255)) for s in "xy")
             test = test & (F.abs(x - y) <= bits)
-    return test & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits)
+    return test
 
 
-def _block_pairs(fp: Column) -> Column:
-    block = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    return F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j])
-                     for k, (i, j) in enumerate(combinations(range(4), 2))])
+def _pairs(few: DataFrame, *tests: Column) -> DataFrame:
+    """Pairs (a, b) of one key that pass the tests."""
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
+    for test in tests:
+        met = met & test
+    return few.alias("x").join(few.alias("y"), met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def _centres(fp: Column) -> Column:
-    return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+def links(distinct: DataFrame, scratch: Scratch, crowd: int = CROWD, counts: list | None = None) -> DataFrame:
+    """All links (a < b) between distinct fingerprints that differ in two bits or fewer.
 
+    A fingerprint has six keys at a level, and meets ``crowd`` others at most at a key, or the few that
+    differ in its last eight bits.  ``counts`` gets (pairs met, pairs that the tables left, links) of every level.
+    """
+    level, rows, parts = 0, pivot_table(distinct.select("fp")), []
+    survive, near = _no_farther(BITS), F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= BITS
+    while rows is not None:
+        keyed = scratch.keep(_keyed(rows, level), "keyed")
+        sizes = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key_sizes")
+        last = level == len(WIDTHS) - 1
+        small = sizes if last else sizes.filter(F.col("n") <= crowd)
+        few = scratch.keep(pivot_table(keyed.join(small, "key").select("key", "fp")), "few")
+        parts.append(scratch.keep(_pairs(few, survive, near).distinct(), "links"))
+        if counts is not None:
+            counts.append(tuple(_pairs(few, *tests).count() for tests in ((), (survive,), (survive, near))))
+        crowded = sizes.filter(F.col("n") > crowd).select("key")
+        rows = None if last or crowded.isEmpty() else keyed.join(crowded, "key").withColumn("t0", _distances(F.col("fp"), F.lit(0).cast("long")))
+        level += 1
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found.distinct()
+
+
+def _classes(distinct: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, root and component_id, the least first_id that links reach, of every row of ``distinct``."""
+    member = components(found, scratch).withColumnRenamed("node", "fp")
+    rooted = scratch.keep(distinct.select("fp", "first_id").join(member, "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return scratch.keep(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, crowd: int, n: int) -> DataFrame:
+    """id, text_key, fp, root, component_id: one row per row of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.keep(fingerprints(docs, id_col, text_col, n), "fingerprints")
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
+    classes = _classes(distinct, links(distinct, scratch, crowd), scratch)
+    scratch.only(prints, classes)
+    return prints.join(classes, "fp")
 
-def links(distinct: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between distinct fingerprints whose components are those of all pairs within two bits.
 
-    Pairs outside crowds are all returned.  A crowd's members are linked to the least member around
-    each centre: at most 65 rows a member, at most 65 members a centre, no matter how large it is.
-    """
-    keyed = scratch.keep(pivot_table(distinct).withColumn("key", F.explode(_block_pairs(F.col("fp")))), "block_pairs")
-    sizes = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block_sizes")
-    met = scratch.keep(keyed.join(sizes, "key"), "meeting")
-    few = met.filter(F.col("n") <= crowd).drop("n")
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-                                & _survives(BITS)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    around = (met.filter(F.col("n") > crowd).select("fp").distinct()
-              .withColumn("centre", F.explode(_centres(F.col("fp"))))
-              .groupBy("centre").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
-              .select(F.col("fps")[0].alias("a"), F.explode("fps").alias("b")))
-    found = scratch.keep(pairs.union(around).filter("a != b").distinct(), "links")
-    scratch.drop(keyed, sizes, met)
-    return found
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD,
+                    n: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest id among all documents that links of at most two bits reach,
     the document itself included; null only if all their ids are null.  A null text, an empty one
     and one of white space have fingerprint zero and are linked like any other.  Repeated rows give
-    a row each.  An empty table gives an empty table.
+    a row each.  An empty table gives an empty table; other columns are ignored, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession)
-    prints = scratch.keep(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    classes = _classes(distinct, links(distinct, scratch, crowd), "fp", scratch)
-    scratch.only(prints, classes)
-    return prints.join(classes, "fp").select(
+    return _marked(docs, id_col, text_col, crowd, n).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _classes(distinct: DataFrame, found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """key and component_id, the least first_id that links reach, of every row of ``distinct``."""
-    # Roots are keys; centres that no document has drop out in the join.
-    member = components(found, scratch).withColumnRenamed("node", key).join(distinct.select(key, "first_id"), key)
-    roots = scratch.keep(member, "members")
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = roots.join(least, "root").select(key, "component_id")
-    return scratch.keep(distinct.join(linked, key, "left").select(
-        key, F.coalesce("component_id", "first_id").alias("component_id")), "classes")
-
-
-def shingle_hashes(text: str | None, n: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct n-word shingles in ascending order; of a shorter text all words are one."""
-    words = text.encode().lower().split() if text else []
-    whole, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:max(len(words) - n + 1, 1)] if words else ends
-    digest = xxhash.xxh64_intdigest
-    stops = ends[n - 1:] if len(words) >= n else ends[-1:]
-    return np.unique(np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of minimum hashes; texts without a word have keys of their own."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        mixed = (hashes[at:at + 4096, None] ^ MIX[0]) * MIX[1]
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, (mixed * MIX[1]).min(axis=0))
-    return np.array([xxhash.xxh3_64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))],
-                    np.uint64).view(np.int64)
-
-
-def _set_id(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(hashes.tobytes())
-
-
-def _bands(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, text_key, set_id, n (shingles), keys: one row per row of ``docs``."""
-    schema = T.StructType([id_field(docs, id_col), T.StructField("text_key", T.LongType()), T.StructField("set_id", T.BinaryType()),
-                           T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-
-    def batch(columns):
-        ids, sizes, keys = [], [], []
-        for value in columns[text_col]:
-            hashes = shingle_hashes(value.as_py(), n)
-            ids.append(_set_id(hashes))
-            sizes.append(len(hashes))
-            keys.append(band_keys(hashes))
-        yield {id_col: columns[id_col], "text_key": columns["text_key"], "set_id": ids, "n": sizes, "keys": keys}
-
-    return map_texts(docs.withColumn("text_key", F.xxhash64(text_col)), [id_col, "text_key", text_col], schema, batch)
-
-
-def _sets(texts: DataFrame, text_col: str, n: int) -> DataFrame:
-    """set_id and shingles (hashes in ascending order as unsigned numbers)."""
-    schema = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-
-    def batch(columns):
-        for value in columns[text_col]:
-            hashes = shingle_hashes(value.as_py(), n)
-            yield {"set_id": [_set_id(hashes)], "shingles": [hashes.view(np.int64)]}
-
-    return map_texts(texts, [text_col], schema, batch)
-
-
-def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with the share of their distinct shingles that both hold."""
-    of = lambda side: sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"of_{side}"))
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()),
-                           T.StructField("similarity", T.DoubleType())])
-
-    def batch(columns):
-        found = []
-        for a, b in zip(columns["of_a"], columns["of_b"]):
-            x, y = a.values.to_numpy(), b.values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            found.append(both / max(len(x) + len(y) - both, 1))
-        yield {"a": columns["a"], "b": columns["b"], "similarity": np.array(found)}
-
-    return map_texts(pairs.join(of("a"), "a").join(of("b"), "b"), ["a", "b", "of_a", "of_b"], schema, batch)
-
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD,
+                         n: int = SHINGLE) -> DataFrame:
+    """One row of every component, that of its smallest id, with all columns of ``docs``, whatever their names.
 
-def _meeting(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (key, set_id, n) whose key several sets hold, with their number as ``held``."""
-    sizes = scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "sizes")
-    return scratch.keep(members.join(sizes, "key"), "meeting")
-
-
-def _pairs(left: DataFrame, right: DataFrame, least: float, test: Column) -> DataFrame:
-    """Pairs (a < b) of one key whose sizes allow the similarity ``least``."""
-    x, y = F.col("x.set_id"), F.col("y.set_id")
-    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9
-    return left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (x != y) & sizes & test).select(
-        F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-
-def _crowd_links(sets: DataFrame, crowded: DataFrame, scratch: Scratch, least: float, crowd: int) -> DataFrame:
-    """Links (a, b) whose components are those of all similar pairs among the ``crowded`` sets.
-
-    A set of n shingles shares one of its floor((1 - least) n) + 1 rarest with every similar set.  If
-    more than ``crowd`` sets share one, they are compared with the one that shares most; a set similar
-    to it is linked, and only the others are compared with all, as far as the distances to it allow.
-    """
-    shingles = sets.join(crowded, "set_id").select("set_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
-    shingles = scratch.keep(shingles, "shingles")
-    held = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
-    rarest = F.row_number().over(Window.partitionBy("set_id").orderBy("held", "key"))
-    rare = scratch.keep(shingles.join(held, "key").withColumn("rank", rarest).filter(
-        (F.col("rank") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1) & (F.col("held") > 1)).select("key", "set_id", "n"), "rare")
-    met = _meeting(rare, scratch)
-    few, many = met.filter(F.col("held") <= crowd), met.filter(F.col("held") > crowd)
-    shared = many.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
-    centres = many.join(shared, "set_id").groupBy("key").agg(F.max(F.struct("shared", "set_id")).alias("c")).select(
-        "key", F.col("c.set_id").alias("a"))
-    around = scratch.keep(many.join(scratch.keep(centres, "centres"), "key"), "around")
-    near = scratch.keep(_similarities(around.filter("a != set_id").select("a", F.col("set_id").alias("b")).distinct(), sets), "near")
-    far = scratch.keep(around.withColumnRenamed("set_id", "b").join(near, ["a", "b"]).select(
-        "key", F.col("b").alias("set_id"), "n", F.col("similarity").alias("s")), "far")
-    # 1 - similarity is a metric, so similar sets are about as far from the centre.
-    rest = _pairs(far.filter(F.col("s") < least - 1e-9), far, least, F.abs(F.col("x.s") - F.col("y.s")) <= 1 - least + 1e-9)
-    both = scratch.keep(_pairs(few, few, least, F.col("x.set_id") < F.col("y.set_id")).union(rest).distinct(), "rare_pairs")
-    return scratch.keep(near.union(_similarities(both, sets)).filter(F.col("similarity") >= least - 1e-9).select("a", "b"), "crowd_links")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SIMILAR_SHINGLE,
-                      least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
-    """One row per row of ``docs``: id and component_id, the smallest id that links of similar texts reach.
-
-    Texts are similar if at least ``least`` of their distinct n-word shingles, A-Z in lower case, are
-    in both.  Texts without a word are similar to each other only.
+    Of rows with that id the one whose text has the smallest digest stays, of repeated rows any one.  A
+    null id stays only where a component has no other.  Null and blank texts are one component.  An empty
+    table gives an empty table.  Texts are shuffled once.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.keep(_bands(docs, id_col, text_col, n).withColumnRenamed(id_col, "id"), "bands")
-    distinct = scratch.keep(prints.groupBy("set_id").agg(F.min("id").alias("first_id"), F.min("text_key").alias("text_key"),
-                                                         F.min("n").alias("n"), F.min("keys").alias("keys")), "distinct")
-    met = _meeting(distinct.select("set_id", "n", F.explode("keys").alias("key")), scratch)
-    few = met.filter(F.col("held") <= crowd)
-    pairs = scratch.keep(_pairs(few, few, least, F.col("x.set_id") < F.col("y.set_id")).distinct(), "pairs")
-    crowded = scratch.keep(met.filter(F.col("held") > crowd).select("set_id").distinct(), "crowded")
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded).distinct()
-    texts = scratch.keep(distinct.join(wanted, "set_id").select("text_key").distinct(), "wanted")
-    sets = scratch.keep(_sets(docs.withColumn("text_key", F.xxhash64(text_col)).join(texts, "text_key", "left_semi"), text_col, n)
-                        .dropDuplicates(["set_id"]), "sets")
-    scratch.drop(met, texts)
-    found = scratch.keep(_similarities(pairs, sets).filter(F.col("similarity") >= least - 1e-9).select("a", "b").union(
-        _crowd_links(sets, crowded, scratch, least, crowd)), "similar")
-    classes = _classes(distinct, found, "set_id", scratch)
-    scratch.only(prints, classes)
-    return prints.join(classes, "set_id").select(F.col("id").alias(id_col), "component_id")
-
-
-def _drop_copies(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    stay = marked.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi").dropDuplicates([id_col, text_col])
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of repeated rows one stays."""
-    return _drop_copies(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SIMILAR_SHINGLE,
-                 least: float = SIMILAR) -> DataFrame:
-    """The same with the components of ``similar_documents``."""
-    return _drop_copies(docs, similar_documents(docs, id_col, text_col, n, least), id_col, text_col)
+    marked = _marked(docs, id_col, text_col, crowd, n)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    stay = scratch.keep(marked.groupBy("root", first.alias("row")).agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(
+        F.min(F.struct("row", "n")).alias("least")).select("least.row.id", "least.row.text_key", "least.n"), "staying")
+    return matching_rows(docs, stay, {"id": quoted(id_col), "text_key": text_key(quoted(text_col))})

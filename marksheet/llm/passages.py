@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksheet.llm.common import Scratch, id_field, map_texts
+from marksheet.llm.common import Scratch, free_prefix, id_field, map_texts, quoted
 
 LEAST, MOST = 16, 128       # bytes of a chunk (the last of a text may be shorter)
 REACH = 16                  # bytes that decide on a cut
@@ -130,9 +130,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def strip_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages that are not kept cut out of their texts; ids must be unique."""
-    spans = passages.filter("NOT kept").groupBy(F.col(id_col).alias("_cut_id")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    """``docs`` with the passages that are not kept cut out of their texts, all columns as they are.
+
+    Ids must be unique; more than one row with one id is an error.  Null ids and texts stay as they are.
+    """
+    prefix = free_prefix(docs)
+    cuts = F.sort_array(F.collect_list(F.struct("start", "end"))).alias(f"{prefix}_cuts")
+    spans = passages.filter("NOT kept").groupBy(F.col(id_col).alias(f"{prefix}_id")).agg(cuts)
+    ids = docs.filter(quoted(id_col).isNotNull()).groupBy(quoted(id_col)).agg(F.count(F.lit(1)).alias("n"))
+    if not ids.filter("n > 1").isEmpty():
+        raise ValueError(f"{id_col} is not unique")
 
     @F.arrow_udf(T.StringType())
     def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -143,5 +150,6 @@ def strip_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
             out.append(text)
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, F.col(id_col) == F.col("_cut_id"), "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_cuts"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(spans, quoted(id_col) == F.col(f"{prefix}_id"), "left")
+    cleaned = cut(quoted(text_col), F.col(f"{prefix}_cuts")).alias(text_col)
+    return joined.select(*[cleaned if c == text_col else quoted(c) for c in docs.columns])
