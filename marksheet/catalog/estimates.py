@@ -154,14 +154,20 @@ def mstep_items(spark, sf_dir):
 START = {"start": "SELECT DISTINCT item_id, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c FROM resp"}
 
 
-@query("fit_mml", with_views("resp", PRINTED + "new1", {
+@query("fit_mml_two_rounds", with_views("resp", PRINTED + "new1", {
     **NODE_VIEW, **START, **estep("start", "0"), **mstep("start", "0", 3),
     **estep("new0", "1"), **mstep("new0", "1", 3)}))
-def fit_mml(spark, sf_dir):
+def fit_mml_two_rounds(spark, sf_dir):
     items, _, _ = calibration.fit_mml(views.answers(spark, sf_dir), fixed_rounds=2, inner_rounds=3)
     return items
 
 
+@query("fit_mml")
+def fit_mml(spark, sf_dir):
+    items, users, info = calibration.fit_mml(views.answers(spark, sf_dir))
+    return _flat(items, users).withColumn("converged", F.lit(info["converged"]))
+
+
 def item_rounds(rounds: int) -> dict[str, str]:
     parts, current = dict(START), "start"
     det = "(haa * hbb - hab * hab)"
@@ -193,12 +199,14 @@ def _flat(items, users, *more):
 
 @query("fit_mhrm")
 def fit_mhrm(spark, sf_dir):
-    return _flat(*joint.fit_mhrm(views.answers(spark, sf_dir), rounds=4, draws=2))
+    items, users = joint.fit_mhrm(views.answers(spark, sf_dir))
+    return _flat(items.drop("converged"), users).join(F.broadcast(items.agg(F.min("converged").alias("converged"))))
 
 
 @query("fit_mh_mle")
 def fit_mh_mle(spark, sf_dir):
-    return _flat(*joint.fit_mh_mle(views.answers(spark, sf_dir), rounds=2, draws=2, item_rounds=2))
+    items, users = joint.fit_mh_mle(views.answers(spark, sf_dir))
+    return _flat(items.drop("converged"), users).join(F.broadcast(items.agg(F.min("converged").alias("converged"))))
 
 
 @query("fit_bayes_modal")

@@ -6,12 +6,16 @@ neither a popular item nor a busy learner is ever gathered in one place.  All in
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marksheet.functions import logistic as lg
 from marksheet.functions.grids import normal_grid
+from marksheet.operators import marginal
 from marksheet.operators.ability import estep_posterior, posterior_mean
+from marksheet.operators.patterns import pack, per_row, table
 from marksheet.operators.scoring import answered, with_parameters
 from marksheet.plans.lineage import RoundTable, cut_lineage
 from marksheet.plans.skew import kept_by, skew_join
@@ -174,11 +178,40 @@ def plug_in_log_likelihood(responses: DataFrame, abilities: DataFrame, items: Da
 def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "2PL", size: int = 40,
             low: float = -6.0, high: float = 6.0, weights: str = "normal", max_rounds: int = 500,
             tol: float = 1e-6, inner_rounds: int = 10, fixed_rounds: int | None = None):
-    """Marginal-likelihood EM in intercept form.
+    """Marginal-likelihood EM in intercept form: items, abilities, and {rounds, loglik, converged, history}.
 
-    ``responses`` may carry a ``weight`` per learner (pattern frequencies).  Stops when the plug-in
-    log-likelihood rises by at most ``tol``.  Returns items, abilities, and {rounds, loglik}.
+    ``responses`` may carry a ``weight`` per learner (pattern frequencies).  Equal answer patterns are merged,
+    EM steps are extrapolated, and the fit stops when an EM step raises the marginal log-likelihood by at
+    most ``tol``.  With more items than ``patterns.MOST_ITEMS``, or for a fixed number of plain rounds, the
+    steps go by joins (``_fit_by_joins``).
     """
+    found = None if fixed_rounds else pack(responses.select(*[c for c in ("user_id", "item_id", "answer", "weight") if c in responses.columns]))
+    if found is None:
+        return _fit_by_joins(responses, items, model, size, low, high, weights, max_rounds, tol, inner_rounds, fixed_rounds)
+    nodes, mass = (np.array(x) for x in normal_grid(size, low, high, weights))
+    n, free = len(found.items), lg.MODELS[model].free
+    start = {k: np.full(n, v) for k, v in (("a", 1.0), ("b", 0.0), ("c", 0.0))}
+    if items is not None:
+        given = {r.item_id: r for r in items.select("item_id", "a", "b", "c").collect()}
+        start = {k: np.array([float(given[i][k]) for i in found.items]) for k in "abc"}
+    c = start["c"]
+
+    def em(x):
+        loglik, counts = marginal.expectation(found.distinct, marginal.item_logs(x[0], x[1], c, nodes), mass)
+        return loglik, np.stack(marginal.item_step(x[0], x[1], c, counts, nodes, free, inner_rounds))
+
+    inside = lambda x: all((low <= v).all() and (v <= high).all() for v, (low, high) in zip(x, (lg.A_BOUNDS, lg.B_BOUNDS)))
+    (a, b), loglik, rounds, done, history = marginal.accelerated(
+        np.stack([start["a"], start["b"]]), em, inside, max_rounds, lambda f0, f1, x0, x1: f1 - f0 <= tol)
+    logs = marginal.item_logs(a, b, c, nodes)
+    users = per_row(found.learners, ["user_id"], [T.StructField("theta", T.DoubleType())],
+                    lambda rows, _: {"theta": marginal.posterior(rows, logs, mass)[0] @ nodes})
+    fitted = table(responses.sparkSession, found.items, responses.schema["item_id"], {"a": a, "b": b, "c": c})
+    return fitted, users, {"rounds": rounds, "loglik": loglik, "converged": done, "history": history}
+
+
+def _fit_by_joins(responses, items, model, size, low, high, weights, max_rounds, tol, inner_rounds, fixed_rounds):
+    """EM steps as joins and sums over the long table, for any number of items."""
     spark = responses.sparkSession
     weighted = "weight" in responses.columns
     answers = cut_lineage(answered(responses).select("user_id", "item_id", "answer", *(["weight"] if weighted else [])), "answers")
@@ -190,21 +223,18 @@ def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "
     nodes, _ = normal_grid(size, low, high, weights)
     item_state, post_state = RoundTable(spark, "items"), RoundTable(spark, "posterior")
     current = item_state.put(items.select("item_id", "a", "b", "c"))
-    before, abilities, rounds = None, None, 0
+    history, abilities, rounds, done = [], None, 0, False
     for rounds in range(1, (fixed_rounds or max_rounds) + 1):
         posterior = estep_posterior(answers, current, size, low, high, weights)
         posterior = posterior.join(weights_of, ["user_id"]) if weighted else posterior.withColumn("weight", F.lit(1.0))
         posterior = post_state.put(posterior.withColumn("theta", posterior_mean(nodes)))
+        history.append(posterior.agg(F.sum(F.col("weight") * F.col("loglik"))).first()[0])
+        abilities = posterior.select("user_id", "theta", "weight")
+        if not fixed_rounds and len(history) > 1 and history[-1] - history[-2] <= tol:
+            done = True
+            break
         counts = expected_counts(answers, posterior, size)
         current = item_state.put(mstep_items(current, counts, nodes, model, inner_rounds)
                                  .select("item_id", "a", "b", "c"))
-        abilities = posterior.select("user_id", "theta", "weight")
-        if fixed_rounds:
-            continue
-        now = plug_in_log_likelihood(answers, abilities, current)
-        if before is not None and 0 <= now - before <= tol:
-            before = now
-            break
-        before = now
     answers.unpersist()
-    return current, abilities.select("user_id", "theta"), {"rounds": rounds, "loglik": before}
+    return current, abilities.select("user_id", "theta"), {"rounds": rounds, "loglik": history[-1], "converged": done, "history": history}

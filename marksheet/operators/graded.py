@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from marksheet.functions import logistic as lg
 from marksheet.functions.grids import hermite_grid
+from marksheet.operators import marginal
 from marksheet.operators.ability import normalized
+from marksheet.operators.patterns import pack, table
 from marksheet.plans.lineage import RoundTable, cut_lineage
 from marksheet.plans.skew import kept_by, skew_join
 
@@ -141,8 +143,44 @@ def grm_mstep(items: DataFrame, counts: DataFrame, low: int, high: int, size: in
     return table.mapInPandas(step, schema)
 
 
-def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size: int = 11):
-    """EM until no parameter moves by ``tol``: items and the number of rounds."""
+INNER = 10      # Fisher steps of every item between two expectation steps
+
+
+def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size: int = 11, history: list | None = None):
+    """EM until no parameter moves by ``tol``: items (item_id, slope, thresholds, converged) and the number of rounds.
+
+    Equal score patterns are merged and EM steps extrapolated where that raises the marginal log-likelihood,
+    which ``history`` gets.  With more items than ``patterns.MOST_ITEMS`` the steps go by joins.
+    """
+    found = pack(scores.select("user_id", "item_id", (F.col("score") - F.lit(score_range(scores)[0])).alias("score")), "score")
+    if found is None:
+        return _fit_by_joins(scores, max_rounds, tol, size)
+    low, high = score_range(scores)
+    nodes, mass = (np.array(x) for x in hermite_grid(size))
+    first = start_items(scores, high - low + 1).first()
+    start = np.tile([first.slope, *first.thresholds], (len(found.items), 1))
+
+    def em(x):
+        _, chance = category_chances(x[:, 0], x[:, 1:], nodes)
+        loglik, counts = marginal.expectation(found.distinct, np.log(np.maximum(chance, TINY)), mass)
+        slope, thresholds = x[:, 0], x[:, 1:]
+        for _ in range(INNER):
+            slope, thresholds, moved = newton_step(slope, thresholds, counts, nodes)
+            if moved.max() < 1e-9:
+                break
+        return loglik, np.column_stack([slope, thresholds])
+
+    falling = lambda x: bool((np.diff(x[:, 1:], axis=1) < 0).all())
+    x, _, rounds, done, values = marginal.accelerated(
+        start, em, falling, max_rounds, lambda f0, f1, x0, x1: np.abs(x1 - x0).max() < tol)
+    if history is not None:
+        history += values
+    return table(scores.sparkSession, found.items, scores.schema["item_id"],
+                 {"slope": x[:, 0], "thresholds": x[:, 1:], "converged": done}), rounds
+
+
+def _fit_by_joins(scores: DataFrame, max_rounds: int, tol: float, size: int):
+    """EM as joins and sums over the long table, for any number of items."""
     scores = kept_by(cut_lineage(scores.select("user_id", "item_id", "score"), "scores"), "user_id")
     low, high = score_range(scores)
     state = RoundTable(scores.sparkSession, "items")
@@ -154,4 +192,4 @@ def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size:
         if items.agg(F.max("moved")).first()[0] < tol:
             break
     scores.unpersist()
-    return items.select("item_id", "slope", "thresholds"), rounds
+    return items.select("item_id", "slope", "thresholds", (F.col("moved") < tol).alias("converged")), rounds
