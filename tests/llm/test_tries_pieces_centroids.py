@@ -109,7 +109,19 @@ def test_agenda_equals_the_library_on_random_strings():
     for alphabet in ("ab  tthe in", "a b▁<0x41>\n\t日本語한é😀\0ﬁ1990__--  ", "aeiouaeioust ", " \n", "0123456789.,"):
         for _ in range(800):
             text = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 90)))
-            assert own.encode(library.normalize(text)) == library.encode(text)
+            assert own.encode(library.normalize(text)).tolist() == own_heap(own, library.normalize(text)) == library.encode(text)
+    assert own.checked() and not own.unchecked
+    own.encode("▁abc")
+    own.unchecked[0] = ("▁abc", b"\1\0\0\0")
+    assert not own.checked()
+
+
+def own_heap(own, normal):
+    """Merges of the whole text at once, by the agenda for long parts."""
+    out = []
+    for symbol in own._merged(normal):
+        out += [own.ids[symbol]] if symbol in own.ids else [own.bytes[b] for b in symbol.encode()]
+    return out
 
 
 def test_pieces_on_awkward_rows(spark):
