@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 from marksheet.catalog import (  # noqa: F401
-    answers, estimates, graded, measures, scores, sources, tracing, whole,
+    answers, diagnosis, estimates, graded, measures, scores, sources, tracing, whole,
 )
 from marksheet.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -200,7 +200,7 @@ def fit_mml(responses: DataFrame, items: DataFrame | None = None, model: str = "
         loglik, counts = marginal.expectation(found.distinct, marginal.item_logs(x[0], x[1], c, nodes), mass)
         return loglik, np.stack(marginal.item_step(x[0], x[1], c, counts, nodes, free, inner_rounds))
 
-    inside = lambda x: all((low <= v).all() and (v <= high).all() for v, (low, high) in zip(x, (lg.A_BOUNDS, lg.B_BOUNDS)))
+    inside = lambda x: np.stack([np.clip(v, *bounds) for v, bounds in zip(x, (lg.A_BOUNDS, lg.B_BOUNDS))])
     (a, b), loglik, rounds, done, history = marginal.accelerated(
         np.stack([start["a"], start["b"]]), em, inside, max_rounds, lambda f0, f1, x0, x1: f1 - f0 <= tol)
     logs = marginal.item_logs(a, b, c, nodes)

@@ -170,7 +170,7 @@ def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size:
                 break
         return loglik, np.column_stack([slope, thresholds])
 
-    falling = lambda x: bool((np.diff(x[:, 1:], axis=1) < 0).all())
+    falling = lambda x: x if (np.diff(x[:, 1:], axis=1) < 0).all() else None
     x, _, rounds, done, values = marginal.accelerated(
         start, em, falling, max_rounds, lambda f0, f1, x0, x1: np.abs(x1 - x0).max() < tol)
     if history is not None:

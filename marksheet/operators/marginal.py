@@ -35,16 +35,21 @@ def posterior(rows: Rows, logs: np.ndarray, mass: np.ndarray) -> tuple[np.ndarra
 
 def expectation(table: DataFrame, logs: np.ndarray, mass: np.ndarray) -> tuple[float, np.ndarray]:
     """Marginal log-likelihood of all rows, and the expected answers (item, code, node)."""
+    found = expectations(table, logs, mass)
+    return float(found["loglik"]), found["counts"]
+
+
+def expectations(table: DataFrame, logs: np.ndarray, mass: np.ndarray) -> dict[str, np.ndarray]:
+    """loglik, counts (item, code, node) and mass (expected learners per node) of all rows."""
     items, codes, nodes = logs.shape
 
     def work(rows: Rows):
         share, loglik = posterior(rows, logs, mass)
         expected = (rows.weight[rows.row] * rows.n)[:, None] * share[rows.row]
         counts = np.stack([rows.per_item(np.where((rows.code == k)[:, None], expected, 0.0), items) for k in range(codes)], 1)
-        return {"loglik": np.array((rows.weight * loglik).sum()), "counts": counts}
+        return {"loglik": np.array((rows.weight * loglik).sum()), "counts": counts, "mass": rows.weight @ share}
 
-    found = sums(table, {"loglik": (), "counts": logs.shape}, work)
-    return float(found["loglik"]), found["counts"]
+    return sums(table, {"loglik": (), "counts": logs.shape, "mass": (nodes,)}, work)
 
 
 def item_logs(a, b, c, nodes) -> np.ndarray:
@@ -86,11 +91,12 @@ def item_step(a, b, c, counts, nodes, free: tuple[str, ...], rounds: int) -> tup
     return a, b
 
 
-def accelerated(start: np.ndarray, em: Callable[[np.ndarray], tuple[float, np.ndarray]], valid: Callable[[np.ndarray], bool],
+def accelerated(start: np.ndarray, em: Callable[[np.ndarray], tuple[float, np.ndarray]], inside: Callable[[np.ndarray], np.ndarray | None],
                 max_rounds: int, settled: Callable[[float, float, np.ndarray, np.ndarray], bool]):
     """Squared extrapolation of EM steps: parameters, log-likelihood there, EM steps used, whether they settled, history.
 
-    ``em`` gives the marginal log-likelihood of its argument and the next parameters.
+    ``em`` gives the marginal log-likelihood of its argument and the next parameters; ``inside`` moves
+    extrapolated parameters into their bounds, or gives None.
     """
     x0 = start
     f0, x1 = em(x0)
@@ -102,8 +108,8 @@ def accelerated(start: np.ndarray, em: Callable[[np.ndarray], tuple[float, np.nd
             return x1, f1, rounds, True, [*history, f1]
         r, v = x1 - x0, x2 - 2 * x1 + x0
         length = -max(1.0, np.sqrt((r * r).sum() / max((v * v).sum(), 1e-300)))
-        x3 = x0 - 2 * length * r + length ** 2 * v
-        if length < -1 and valid(x3):
+        x3 = inside(x0 - 2 * length * r + length ** 2 * v) if length < -1 else None
+        if x3 is not None:
             f3, x4 = em(x3)
             rounds += 1
             if f3 >= f1:

@@ -16,10 +16,14 @@ MAX_LEN = 8192   # answers per row; a power of two
 
 
 def key_of(columns: list[str]) -> Column:
-    """One key column from one or more columns."""
+    """One key column from one or more columns, different for different values: parts are joined by "_".
+
+    A backslash or underscore inside a part is escaped, and a null part is a backslash and "N".
+    """
     if len(columns) == 1:
         return F.col(columns[0])
-    return F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
+    escaped = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_")) for c in columns]
+    return F.concat_ws("_", *[F.coalesce(e, F.lit("\\N")) for e in escaped])
 
 
 def build_sequences(rows: DataFrame, trace_by: list[str], group_by: list[str], order: list[str],

@@ -66,20 +66,10 @@ def test_stochastic_fit_agrees_with_marginal_fit(simulated):
 
 def test_stochastic_item_fit_runs_to_sensible_items(simulated):
     answers, _, a, b = simulated
-    items, _ = joint.fit_mh_mle(answers, rounds=2, draws=2, item_rounds=3)
+    items, _ = joint.fit_mh_mle(answers, rounds=6, draws=20)
     assert np.corrcoef(errors(items, 0 * a, 0 * b)[1], b)[0, 1] > 0.95
 
 
-def test_draws_are_repeatable(simulated):
-    answers, *_ = simulated
-    start = joint.start_abilities(answers)
-    items = joint._start_items(answers)
-    first = joint.sample_abilities(answers, items, start, 1, 2, 3).orderBy("user_id").collect()
-    again = joint.sample_abilities(answers.repartition(7), items, start, 1, 2, 3).orderBy("user_id").collect()
-    assert [r.theta for r in first] == pytest.approx([r.theta for r in again])
-    assert len({r.theta for r in first}) > 100
-
-
 def test_modal_fit_recovers(simulated):
     answers, theta, a, b = simulated
     items, users, _ = joint.fit_bayes_modal(answers, "2PL", rounds=6)
