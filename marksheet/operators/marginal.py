@@ -76,7 +76,7 @@ def item_step(a, b, c, counts, nodes, free: tuple[str, ...], rounds: int) -> tup
         if "a" not in free:
             gradient[:, 0], information[:, 0], information[:, :, 0] = 0, 0, 0
             information[:, 0, 0] = 1
-        step = np.clip(np.linalg.solve(information + 1e-12 * np.eye(2), gradient[:, :, None])[:, :, 0], -MAX_STEP, MAX_STEP)
+        step = solved(gradient, np.stack([information[:, 0, 0], information[:, 0, 1], information[:, 1, 1]], 1), a)
         for _ in range(20):
             new_a, new_b = np.clip(a + step[:, 0], *lg.A_BOUNDS), np.clip(b + step[:, 1], *lg.B_BOUNDS)
             now = value(new_a, new_b)
@@ -220,10 +220,16 @@ def mean_sums(table: DataFrame, a, b, c, draws: int, burn_in: int, salt: tuple[i
     return found["gradient"], found["information"]
 
 
-def solved(gradient: np.ndarray, information: np.ndarray) -> np.ndarray:
-    """Steps of 2 x 2 systems given as (aa, ab, bb), cut to MAX_STEP."""
+def solved(gradient: np.ndarray, information: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Steps of 2 x 2 systems given as (aa, ab, bb), cut to MAX_STEP.
+
+    A slope that rests on a bound and pushes against it stays, and the intercept is solved alone.
+    """
     aa, ab, bb = information.T
     bottom = aa * bb - ab * ab
     safe = np.where(bottom > 1e-12, bottom, np.inf)
     step = np.stack([(bb * gradient[:, 0] - ab * gradient[:, 1]) / safe, (aa * gradient[:, 1] - ab * gradient[:, 0]) / safe], 1)
-    return np.clip(step, -MAX_STEP, MAX_STEP)
+    low, high = lg.A_BOUNDS
+    resting = (a <= low) & (step[:, 0] <= 0) | (a >= high) & (step[:, 0] >= 0)
+    alone = np.stack([np.zeros(len(a)), gradient[:, 1] / np.where(bb > 1e-12, bb, np.inf)], 1)
+    return np.clip(np.where(resting[:, None], alone, step), -MAX_STEP, MAX_STEP)
