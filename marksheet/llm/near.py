@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksheet.llm.common import Scratch, id_field, map_texts, matching_rows, quoted, text_key
+from marksheet.llm.common import Scratch, map_texts, matching_rows, quoted, text_key
 from marksheet.llm.components import components
 
 SHINGLE, BITS = 3, 2
