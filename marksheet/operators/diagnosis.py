@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marksheet.functions import logistic as lg
 from marksheet.operators import marginal
