@@ -3,14 +3,13 @@
 State 0 is "not mastered" and 1 "mastered" (or levels 0..6); an answer is 0 or 1.  Filtering and
 prediction are folds inside the JVM.  Smoothing and decoding need every step's state and run as
 Arrow batches.  Sequences cut into pieces are chained: each piece is reduced to a small matrix, the
-matrices are multiplied through in order, and every piece then starts from the right state.
+matrices are combined up and down a tree, and every piece then starts from the right state.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +18,11 @@ from pyspark.sql import types as T
 from marksheet.functions import hmm
 from marksheet.functions.logistic import doubles, sigmoid, total
 from marksheet.operators.sequences import build_sequences, is_split
+from marksheet.plans.lineage import cut_lineage
+from marksheet.plans.scan import attach, tree_scan
 from marksheet.plans.skew import skew_join
 
+KEYS = ["trace", "grp"]
 DOUBLES = T.ArrayType(T.DoubleType())
 MATRIX = T.ArrayType(DOUBLES)
 
@@ -319,7 +321,7 @@ def _ragged(values: np.ndarray, lengths: np.ndarray):
 def chain(pieces: DataFrame, config: TracingConfig, offset: float) -> DataFrame:
     """Fill ``prior`` and ``later`` of the pieces of cut sequences.
 
-    Only one states-by-states matrix per piece is gathered per sequence.
+    Each piece becomes one states-by-states matrix; these are combined up and down a tree.
     """
     S = config.states
 
@@ -327,29 +329,33 @@ def chain(pieces: DataFrame, config: TracingConfig, offset: float) -> DataFrame:
         product, _ = hmm.transfer(block.A, block.emission, block.lengths)
         return [product.reshape(len(product), S * S)]
 
-    reduced = run_batches(pieces, ["trace", "grp", "seg", "pi"], (config, offset, reduce_piece),
-                          [("product", DOUBLES)])
-    ordered = _gather(reduced, ["product"], "pi")
-    schema = T.StructType([pieces.schema["trace"], pieces.schema["grp"], pieces.schema["seg"],
-                           T.StructField("prior", DOUBLES), T.StructField("later", DOUBLES)])
-
-    def walk(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                products = np.asarray(row.product).reshape(-1, S, S)
-                priors, laters = [np.asarray(row.pi)], [None]
-                for product in products[:-1]:
-                    state = priors[-1] @ product
-                    priors.append(state / max(state.sum(), hmm.TINY))
-                value = np.ones(S)
-                for product in products[:0:-1]:
-                    value = product @ value
-                    value /= max(value.max(), hmm.TINY)
-                    laters.append(value)
-                yield _piece_frame(row, prior=priors, later=laters[::-1])
-
-    placed = ordered.mapInPandas(walk, schema)
-    return pieces.drop("prior", "later").join(placed, ["trace", "grp", "seg"])
+    def combine(values):
+        product = np.eye(S)
+        for value in values.reshape(-1, S, S):
+            product = product @ value
+            product /= max(product.max(), hmm.TINY)
+        return product.ravel()
+
+    def spread(values, context):
+        """``context``: the state before the first piece, then the likelihood after the last (none at the end)."""
+        products = values.reshape(-1, S, S)
+        priors, laters = [context[:S]], [context[S:]]
+        for product in products[:-1]:
+            state = priors[-1] @ product
+            priors.append(state / max(state.sum(), hmm.TINY))
+        value = context[S:] if len(context) > S else np.ones(S)
+        for product in products[:0:-1]:
+            value = product @ value
+            value = value / max(value.max(), hmm.TINY)
+            laters.append(value)
+        return [np.concatenate(both) for both in zip(priors, laters[::-1])]
+
+    reduced = run_batches(pieces, [*KEYS, "seg", "pi"], (config, offset, reduce_piece), [("value", DOUBLES)])
+    tops = pieces.groupBy(*KEYS).agg(F.first("pi").alias("context"))
+    placed = tree_scan(reduced, tops, KEYS, S * S, combine, spread)
+    later = F.when(F.size("context") > S, F.slice("context", S + 1, S))
+    return attach(pieces.drop("prior", "later"), placed, KEYS).withColumns(
+        {"prior": F.slice("context", 1, S), "later": later}).drop("context")
 
 
 def in_context(found: DataFrame, config: TracingConfig, offset: float) -> DataFrame:
@@ -450,7 +456,7 @@ def _chain_paths(pieces: DataFrame, config: TracingConfig, offset: float) -> Dat
     to its first and from there to the last state of the piece before.
     """
     S = config.states
-    keys = ["trace", "grp", "seg"]
+    keys = [*KEYS, "seg"]
 
     def reduce_piece(block):
         product = hmm.log_transfer(_log(block.A), _log(block.emission), block.lengths)
@@ -461,59 +467,52 @@ def _chain_paths(pieces: DataFrame, config: TracingConfig, offset: float) -> Dat
         finals = np.broadcast_to(np.arange(S), score.shape)
         firsts = hmm.trace_back(back, finals)[:, :, 0]
         into = (score[:, :, None] + _log(block.A)).argmax(1)
-        return [score, firsts, into]
-
-    reduced = run_batches(pieces, [*keys, "pi"], (config, offset, reduce_piece), [("product", DOUBLES)])
-    prior_schema = T.StructType([pieces.schema[c] for c in keys] + [T.StructField("prior", DOUBLES)])
-
-    def entries(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                scores = [_log(np.asarray(row.pi))]
-                for product in np.asarray(row.product).reshape(-1, S, S)[:-1]:
-                    scores.append((scores[-1][:, None] + product).max(0))
-                yield _piece_frame(row, prior=scores)
-
-    placed = _gather(reduced, ["product"], "pi").mapInPandas(entries, prior_schema)
-    entered = pieces.drop("prior").join(placed, keys)
-    linked = run_batches(entered, keys, (config, offset, links),
-                         [("score", DOUBLES), ("firsts", T.ArrayType(T.LongType())),
-                          ("into", T.ArrayType(T.LongType()))])
-    later_schema = T.StructType([pieces.schema[c] for c in keys] + [T.StructField("later", DOUBLES)])
-
-    def exits(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                score = np.asarray(row.score).reshape(-1, S)
-                firsts, into = (np.asarray(v).reshape(-1, S) for v in (row.firsts, row.into))
-                state, best = int(score[-1].argmax()), float(score[-1].max())
-                ends = [[float(state), best]]
-                for k in range(len(score) - 2, -1, -1):
-                    state = int(into[k][firsts[k + 1][state]])
-                    ends.append([float(state), best])
-                yield _piece_frame(row, later=ends[::-1])
-
-    ended = _gather(linked, ["score", "firsts", "into"]).mapInPandas(exits, later_schema)
-    return entered.drop("later").join(ended, keys).select(*pieces.columns)
-
-
-def _gather(pieces: DataFrame, names: list[str], shared: str | None = None) -> DataFrame:
-    """The small per-piece arrays of a sequence, concatenated in order."""
-    extra = [F.first(shared).alias(shared)] if shared else []
-    grouped = pieces.groupBy("trace", "grp").agg(
-        *extra, F.array_sort(F.collect_list(F.struct("seg", *names))).alias("_p"))
-    return grouped.select("trace", "grp", *([shared] if shared else []),
-                          F.transform("_p", lambda p: p["seg"]).alias("segs"),
-                          *[F.flatten(F.transform("_p", _field(n))).alias(n) for n in names])
-
-
-def _field(name: str):
-    return lambda piece: piece[name]
-
-
-def _piece_frame(row, **columns):
-    n = len(row.segs)
-    return pd.DataFrame({"trace": [row.trace] * n, "grp": [row.grp] * n, "seg": row.segs, **columns})
+        return [np.concatenate([firsts, into], 1).astype(float), score]
+
+    def combine_entries(values):
+        product = values[0].reshape(S, S)
+        for value in values[1:].reshape(-1, S, S):
+            product = (product[:, :, None] + value).max(1)
+        return product.ravel()
+
+    def entries(values, context):
+        scores = [context]
+        for value in values[:-1].reshape(-1, S, S):
+            scores.append((scores[-1][:, None] + value).max(0))
+        return scores
+
+    def combine_exits(values):
+        """From the last state of the last node to the first state of the first one."""
+        parts = values.astype(np.int64).reshape(-1, 2, S)
+        state = parts[-1, 0]
+        for firsts, into in parts[-2::-1]:
+            state = firsts[into[state]]
+        return np.concatenate([state, parts[-1, 1]]).astype(float)
+
+    def exits(values, context):
+        parts = values.astype(np.int64).reshape(-1, 2, S)
+        ends = [context]
+        for k in range(len(parts) - 2, -1, -1):
+            state = parts[k, 1][parts[k + 1, 0][int(ends[-1][0])]]
+            ends.append(np.array([float(state), context[1]]))
+        return ends[::-1]
+
+    reduced = run_batches(pieces, [*keys, "pi"], (config, offset, reduce_piece), [("value", DOUBLES)])
+    starts = pieces.groupBy(*KEYS).agg(F.transform(F.first("pi"), log_or_never).alias("context"))
+    placed = tree_scan(reduced, starts, KEYS, S * S, combine_entries, entries)
+    entered = attach(pieces.drop("prior"), placed, KEYS).withColumnRenamed("context", "prior")
+    linked = cut_lineage(run_batches(entered, keys, (config, offset, links),
+                                     [("value", DOUBLES), ("score", DOUBLES)]), "links")
+    best = linked.groupBy(*KEYS).agg(F.max_by("score", "seg").alias("score"))
+    last = F.array_position("score", F.array_max("score")) - 1
+    tops = best.select(*KEYS, F.array(last.cast("double"), F.array_max("score")).alias("context"))
+    ended = tree_scan(linked, tops, KEYS, 2 * S, combine_exits, exits)
+    return attach(entered.drop("later"), ended, KEYS).withColumnRenamed("context", "later").select(*pieces.columns)
+
+
+def log_or_never(p: Column) -> Column:
+    """log p, minus infinity for zero."""
+    return F.when(p > 0, F.log(p)).otherwise(F.lit(float("-inf")))
 
 
 def predict_viterbi(seqs: DataFrame, models: DataFrame | None = None,
