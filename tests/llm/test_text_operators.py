@@ -1,5 +1,6 @@
 """The text operators against SQL, brute force and round trips, on a small table and on awkward rows."""
 import collections
+import itertools
 import glob
 import hashlib
 import re
@@ -253,6 +254,34 @@ def test_mixtures_are_told_apart(spark, rows):
     assert langid.trigrams(None) is None and langid.trigrams("12 !?") is None
 
 
+def test_language_sets_by_all_subsets(rows):
+    """Documents of one, two and three languages: the set found is the best of all subsets by penalised likelihood."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        if r["lang"] and langid.trigrams(r["text"]) is not None:
+            by[r["lang"]].append(r["text"])
+    names = sorted(by)
+    table = np.stack([1.0 + sum(langid.trigrams(t) for t in by[n][:40]) for n in names])
+    log_table = np.log(table / table.sum(axis=1, keepdims=True))
+
+    def best_subset(counts):
+        bins = np.flatnonzero(counts)
+        n, logs = counts[bins].astype(float), log_table[:, bins]
+        likelihood, price = np.exp(logs - logs.max(axis=0)).T, langid.PENALTY * np.log1p(counts.sum())
+        subsets = [list(c) for k in range(1, len(names) + 1) for c in itertools.combinations(range(len(names)), k)]
+        return set(max(subsets, key=lambda c: langid.proportions(likelihood[:, c], n)[1] - price * (len(c) - 1)))
+
+    draw = np.random.default_rng(0)
+    sizes = collections.Counter()
+    for i in range(45):
+        chosen = draw.choice(len(names), min(1 + i // 15, len(names)), False)
+        text = " ".join(by[names[k]][-1 - i % len(by[names[k]])][:int(draw.integers(80, 1500))] for k in chosen)
+        found = langid.mixture(langid.trigrams(text), log_table)
+        assert set(found) == best_subset(langid.trigrams(text)) and sum(found.values()) == pytest.approx(1)
+        sizes[len(found)] += 1
+    assert sizes[1] >= 10 and sizes[2] >= 5 and sizes[3] >= 5
+
+
 # ---- language model
 
 def test_base_scores_by_brute_force(spark, rows, sf_dir):
