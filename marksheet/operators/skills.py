@@ -14,32 +14,37 @@ MOST_ROUNDS = 40        # of doubling: paths of up to 2 ** 40 steps
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (skill, needs, steps) of which the second is reached from the first; ``steps`` is the shortest way.
 
-    ``edges`` holds skill and needs (null: no edge).  Paths double: a round joins the paths found in the
-    round before with all paths, so a chain of n skills takes about log2(n) rounds.  A skill on a
-    cycle reaches itself, which ``cycles`` reports.
+    ``edges`` holds skill and needs (null: no edge).  Paths double, so a chain of n skills takes about log2(n)
+    rounds: with all shortest ways of up to k steps known, one of up to 2 k goes k steps to some middle and k at
+    most from there, so only pairs exactly k steps apart are joined, and with what their middles reach.  What is
+    found is new unless it was known, and its steps are final.  A skill on a cycle reaches itself, which
+    ``cycles`` reports.
     """
     state = RoundTable(edges.sparkSession, "closure")
     known = state.put(edges.filter("skill is not null and needs is not null").select("skill", "needs").distinct()
-                      .withColumns({"steps": F.lit(1).cast("long"), "new": F.lit(True)}))
-    for _ in range(MOST_ROUNDS):
-        left = known.select("skill", F.col("needs").alias("middle"), F.col("steps").alias("first"), F.col("new").alias("new_first"))
-        right = known.select(F.col("skill").alias("middle"), "needs", F.col("steps").alias("second"), F.col("new").alias("new_second"))
-        found = left.join(right, "middle").filter("new_first or new_second").groupBy("skill", "needs").agg(
-            F.min(F.col("first") + F.col("second")).alias("steps"))
-        old = known.select("skill", "needs", "steps")
-        merged = old.withColumn("was", F.col("steps")).unionByName(found.withColumn("was", F.lit(None).cast("long"))).groupBy("skill", "needs").agg(
-            F.min("steps").alias("steps"), F.min("was").alias("was"))
-        known = state.put(merged.select("skill", "needs", "steps", (F.col("was").isNull() | (F.col("steps") < F.col("was"))).alias("new")))
-        if known.filter("new").isEmpty():
-            return known.select("skill", "needs", "steps")
+                      .withColumn("steps", F.lit(1).cast("long")))
+    for k in range(MOST_ROUNDS):
+        far = known.filter(F.col("steps") == 1 << k)
+        if far.isEmpty():
+            return known
+        left = far.select("skill", F.col("needs").alias("middle"))
+        # Of the known pairs only those of a middle are shuffled by it: where many skills need few, these are few.
+        right = known.withColumnRenamed("skill", "middle").join(left.select("middle").distinct(), "middle", "left_semi").withColumnRenamed("steps", "more")
+        found = left.join(right, "middle").select("skill", "needs", (F.col("more") + F.lit(1 << k)).alias("steps"))
+        known = state.put(known.unionByName(found).groupBy("skill", "needs").agg(F.min("steps").alias("steps")))
     raise ValueError(f"paths of more than 2 ** {MOST_ROUNDS} steps")
 
 
 def cycles(closed: DataFrame) -> DataFrame:
-    """Skills that need themselves: skill, steps of the shortest cycle, and the smallest skill on a common cycle."""
+    """Skills that need themselves: skill, steps of the shortest cycle, and the smallest skill on a common cycle.
+
+    Both skills of a common cycle need themselves, so only pairs of such skills are turned round and compared.
+    """
     on = closed.filter("skill = needs").select("skill", "steps")
-    back = closed.select(F.col("needs").alias("skill"), F.col("skill").alias("needs"))
-    both = closed.select("skill", "needs").intersect(back).groupBy("skill").agg(F.min("needs").alias("cycle"))
+    own = on.select("skill")
+    pairs = closed.select("skill", "needs").join(own, "skill", "left_semi").join(own.withColumnRenamed("skill", "needs"), "needs", "left_semi")
+    back = pairs.select(F.col("needs").alias("skill"), F.col("skill").alias("needs"))
+    both = pairs.select("skill", "needs").join(back, ["skill", "needs"], "left_semi").groupBy("skill").agg(F.min("needs").alias("cycle"))
     return on.join(both, "skill").select("skill", "steps", "cycle")
 
 

@@ -133,6 +133,29 @@ def test_closure_of_chains_and_cycles(spark, monkeypatch):
     assert skills.closure(chain.limit(0)).collect() == []
 
 
+def test_closure_joins_only_pairs_of_one_distance(spark, monkeypatch):
+    kind, joined = type(spark.range(1)), []
+    plain = kind.join
+
+    def join(self, other, on=None, how=None):
+        if on == "middle" and how is None:
+            joined.append(self.count())
+        return plain(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", join)
+    edges = [(i, (i * 2) % 97) for i in range(400)]
+    found = skills.closure(spark.createDataFrame(edges, "skill int, needs int")).collect()
+    assert joined and max(joined) <= 400      # one pair a skill, not all that are known
+    reached = {}
+    for s, n in edges:
+        steps = 1
+        while (s, n) not in reached:
+            reached[s, n], n, steps = steps, (n * 2) % 97, steps + 1
+    assert {(r.skill, r.needs): r.steps for r in found} == reached
+    assert {tuple(r) for r in skills.cycles(spark.createDataFrame(found)).collect()} == {
+        (s, k, min(n for a, n in reached if a == s and (n, s) in reached)) for (s, t), k in reached.items() if s == t}
+
+
 def test_knowledge_states_by_brute_force(spark):
     draw = random.Random(9)
     for k in (0, 1, 6, 12):
