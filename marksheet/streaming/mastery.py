@@ -45,14 +45,16 @@ class Mastery(StatefulProcessor):
                 self.now.update((None, 0, _plain(first["pi"]), _plain(first["A"]), _plain(first["B"])))
             # Microseconds order the answers; timers go by whole milliseconds, rounded up.
             ticks = frame["ts"].astype("datetime64[us]").astype("int64")
-            for ts, event, answer in zip(ticks, frame["event_id"], frame["answer"]):
-                self.waiting.appendValue((int(ts), int(event), int(answer)))
-            for due in sorted({-(-int(t) // 1000) for t in ticks}):
-                self.handle.registerTimer(due)
+            self.waiting.appendList([(int(t), int(e), int(a)) for t, e, a in zip(ticks, frame["event_id"], frame["answer"])])
+            self._wake(int(ticks.min()))
         return iter(())
 
+    def _wake(self, tick: int) -> None:
+        """A timer for the first answer that waits; those behind it get theirs when it expires."""
+        self.handle.registerTimer(-(-tick // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        until = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get())
         due = [r for r in rows if r[0] <= until]
         if not due:
@@ -64,6 +66,7 @@ class Mastery(StatefulProcessor):
         self.now.update((state.tolist(), n, _plain(pi), _plain(A), _plain(B)))
         if len(due) < len(rows):
             self.waiting.put([tuple(r) for r in rows[len(due):]])
+            self._wake(rows[len(due)][0])
         else:
             self.waiting.clear()
         after = state @ np.array(A)
@@ -84,7 +87,7 @@ def mastery_stream(answers: DataFrame, models: DataFrame | None = None, config:
 
     ``answers`` is a stream of skill, user_id, ts, event_id, answer (rows with a null among these are left out);
     ``models`` a static table of (trace, pi, A, B) by skill, else every skill has the start values.  A row goes out whenever the watermark
-    passes answers of a key, in time order and equal times by event_id.  Needs the RocksDB state store.
+    passes answers of a key, one for all that it passes, which count in time order and equal times by event_id.  Needs the RocksDB state store.
     """
     rows = answers.select("skill", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("answer").cast("int").alias("answer")) \
         .dropna().withWatermark("ts", delay).withColumn("trace", F.col("skill"))
