@@ -26,7 +26,10 @@ def curve(a, b, c, nodes) -> np.ndarray:
 
 def posterior(rows: Rows, logs: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of every row over the nodes, and its log marginal likelihood; ``logs`` is (item, code, node)."""
-    raw = rows.per_row(rows.n[:, None] * logs[rows.item, rows.code]) + np.log(mass)
+    return _normalised(rows.per_row(rows.n[:, None] * logs[rows.item, rows.code]) + np.log(mass))
+
+
+def _normalised(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     most = raw.max(1, keepdims=True)
     weight = np.exp(raw - most)
     total = weight.sum(1, keepdims=True)
@@ -44,6 +47,11 @@ def expectations(table: DataFrame, logs: np.ndarray, mass: np.ndarray) -> dict[s
     items, codes, nodes = logs.shape
 
     def work(rows: Rows):
+        cells = rows.matrix(items, codes)
+        if cells is not None:       # the same sums as two products of matrices
+            share, loglik = _normalised(cells @ logs.reshape(items * codes, nodes) + np.log(mass))
+            counts = cells.T @ (rows.weight[:, None] * share)
+            return {"loglik": np.array((rows.weight * loglik).sum()), "counts": counts, "mass": rows.weight @ share}
         share, loglik = posterior(rows, logs, mass)
         expected = (rows.weight[rows.row] * rows.n)[:, None] * share[rows.row]
         counts = np.stack([rows.per_item(np.where((rows.code == k)[:, None], expected, 0.0), items) for k in range(codes)], 1)
@@ -130,39 +138,80 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniforms(key: np.ndarray, *counters: int) -> np.ndarray:
-    """A number in (0, 1) for every 64-bit key and this counter; the same on every machine."""
+def _counted(key: np.ndarray, *counters: int) -> np.ndarray:
+    """The bits of a key after these counters; more counters go on from there."""
     bits = key.astype(np.uint64)
     for counter in counters:
         bits = _mixed(bits + np.uint64((counter * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64))
-    return ((bits >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+    return bits
+
+
+def uniforms(key: np.ndarray, *counters: int) -> np.ndarray:
+    """A number in (0, 1) for every 64-bit key and this counter; the same on every machine."""
+    return ((_counted(key, *counters) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
 
 
 def gaussians(key: np.ndarray, *counters: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(uniforms(key, *counters, 1))) * np.cos(2 * np.pi * uniforms(key, *counters, 2))
 
 
-def chain(rows: Rows, key: np.ndarray, a, b, c, draws: int, burn_in: int, salt: tuple[int, ...], keep: Callable[[np.ndarray], None]) -> None:
-    """Metropolis-Hastings on every row's ability, prior N(0, 1); ``keep`` sees each draw after ``burn_in``.
+GROUPED = 16        # factors of up to 1 + exp(30) whose product a double holds
 
-    A chain starts at the row's state.  Numbers depend on (key, salt, draw) alone.
-    """
+
+def _flat_value(rows: Rows, a, b, c) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     own_a, own_b, own_c = a[rows.item], b[rows.item], c[rows.item]
 
     def value(theta):
         z = np.clip(own_a * theta[rows.row] + own_b, -30, 30)
         p = own_c + (1 - own_c) / (1 + np.exp(-z))
-        return rows.per_row(rows.n * np.log(np.where(rows.code == 1, p, 1 - p))) - theta ** 2 / 2
+        return rows.per_row(rows.n * np.log(np.where(rows.code == 1, p, 1 - p))) - theta ** 2 / 2, p
+
+    return value
+
 
+def _dense_value(right: np.ndarray, both: np.ndarray, a, b) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The same from (item, row) counts, without guessing: one logarithm for many items where no count is over one."""
+    once = both.max(initial=0) <= 1
+
+    def value(theta):
+        z = np.clip(np.multiply.outer(a, theta) + b[:, None], -30, 30)
+        raised = np.einsum("ir,ir->r", right, z)
+        odds = np.exp(z, out=z)
+        if once:
+            factors = both * odds + 1
+            lost = sum(np.log(np.multiply.reduce(factors[k:k + GROUPED], axis=0)) for k in range(0, len(a), GROUPED))
+        else:
+            lost = np.einsum("ir,ir->r", both, np.log1p(odds))
+        return raised - lost - theta ** 2 / 2, odds
+
+    return value
+
+
+def chain(rows: Rows, key: np.ndarray, value: Callable, draws: int, burn_in: int, salt: tuple[int, ...], keep: Callable, merge: Callable | None = None) -> None:
+    """Metropolis-Hastings on every row's ability, prior N(0, 1); ``keep`` sees each draw after ``burn_in``.
+
+    ``value`` gives the log density and what else it found; with ``merge`` (old, new, taken) ``keep`` gets that
+    for the draw too.  A chain starts at the row's state.  Numbers depend on (key, salt, draw) alone.
+    """
     theta = rows.state[:, 0].copy()
-    now = value(theta)
+    now, found = value(theta)
+    key = _counted(key, *salt)
     for draw in range(burn_in + draws):
-        new = theta + gaussians(key, *salt, draw)
-        after = value(new)
-        taken = np.log(uniforms(key, *salt, draw, 3)) < after - now
+        bits = _counted(key, draw)
+        new = theta + gaussians(bits)
+        after, other = value(new)
+        taken = np.log(uniforms(bits, 3)) < after - now
         theta, now = np.where(taken, new, theta), np.where(taken, after, now)
+        if merge:
+            found = merge(found, other, taken)
         if draw >= burn_in:
-            keep(theta)
+            keep(theta, found)
+
+
+def _counts(rows: Rows, c) -> tuple[np.ndarray, np.ndarray] | None:
+    """Right and all answers, (item, row), where ``_dense_value`` serves."""
+    cells = None if np.any(c) else rows.matrix(len(c), 2)
+    return None if cells is None else (np.ascontiguousarray(cells[:, 1::2].T), np.ascontiguousarray((cells[:, ::2] + cells[:, 1::2]).T))
 
 
 def sampled_sums(table: DataFrame, a, b, c, draws: int, burn_in: int, salt: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +220,32 @@ def sampled_sums(table: DataFrame, a, b, c, draws: int, burn_in: int, salt: tupl
 
     def work(rows: Rows):
         gradient, information = np.zeros((items, 2)), np.zeros((items, 3))
-        own_a, own_b, own_c, weight = a[rows.item], b[rows.item], c[rows.item], rows.weight[rows.row] * rows.n
-
-        def keep(theta):
+        key, counts = rows.state[:, 1].astype(np.uint64), _counts(rows, c)
+        if counts is not None:
+            right, both = counts
+            total = np.zeros(len(rows.start))
+
+            def merge(old, new, taken):
+                np.copyto(old, new, where=taken)
+                return old
+
+            def keep(theta, odds):
+                total[:] += theta
+                p = odds / (1 + odds)
+                held = both * p
+                powers = np.stack([theta * theta, theta, np.ones(len(theta))], 1) * rows.weight[:, None]
+                gradient[:] -= held @ powers[:, 1:]
+                information[:] += (held * (1 - p)) @ powers
+
+            chain(rows, key, _dense_value(right, both, a, b), draws, burn_in, salt, keep, merge)
+            gradient += right @ (np.stack([total, np.full(len(total), float(draws))], 1) * rows.weight[:, None])
+            return {"gradient": gradient / draws, "information": information / draws}
+
+        own_c, weight = c[rows.item], rows.weight[rows.row] * rows.n
+
+        def keep(theta, p):
             t = theta[rows.row]
-            s = 1 / (1 + np.exp(-np.clip(own_a * t + own_b, -30, 30)))
-            p = own_c + (1 - own_c) * s
+            s = (p - own_c) / (1 - own_c)
             rise = (1 - own_c) * s * (1 - s)
             g = weight * (rows.code - p) / (p * (1 - p)) * rise
             h = weight * rise * rise / (p * (1 - p))
@@ -184,7 +253,7 @@ def sampled_sums(table: DataFrame, a, b, c, draws: int, burn_in: int, salt: tupl
                 for k, part in enumerate(parts):
                     sink[:, k] += np.bincount(rows.item, part, items)
 
-        chain(rows, rows.state[:, 1].astype(np.uint64), a, b, c, draws, burn_in, salt, keep)
+        chain(rows, key, _flat_value(rows, a, b, c), draws, burn_in, salt, keep, lambda old, new, taken: np.where(taken[rows.row], new, old))
         return {"gradient": gradient / draws, "information": information / draws}
 
     found = sums(table, {"gradient": (items, 2), "information": (items, 3)}, work)
@@ -193,12 +262,13 @@ def sampled_sums(table: DataFrame, a, b, c, draws: int, burn_in: int, salt: tupl
 
 def mean_draws(rows: Rows, a, b, c, draws: int, burn_in: int, salt: tuple[int, ...]) -> np.ndarray:
     """Mean of every row's draws."""
-    total = np.zeros(len(rows.start))
+    total, counts = np.zeros(len(rows.start)), _counts(rows, c)
+    value = _flat_value(rows, a, b, c) if counts is None else _dense_value(*counts, a, b)
 
-    def keep(theta):
+    def keep(theta, _):
         total[:] += theta
 
-    chain(rows, rows.state[:, 1].astype(np.uint64), a, b, c, draws, burn_in, salt, keep)
+    chain(rows, rows.state[:, 1].astype(np.uint64), value, draws, burn_in, salt, keep)
     return total / draws
 
 
