@@ -17,6 +17,7 @@ from marksheet.operators import tracing
 from marksheet.operators.sequences import build_sequences_generic, drop_short_sequences, is_split
 from marksheet.operators.tracing import DOUBLES, LEVELS, MATRIX, STANDARD, TracingConfig, doubles, matrix
 from marksheet.plans.lineage import RoundTable, cut_lineage
+from marksheet.plans.skew import spread
 
 
 def sequence_stats(seqs: DataFrame, models: DataFrame | None = None, config: TracingConfig = STANDARD,
@@ -132,7 +133,7 @@ def fit_by_sequence(seqs: DataFrame, config: TracingConfig = STANDARD, rounds: i
     into pieces go through the round-by-round job, which never needs a sequence in one place.
     """
     whole = seqs.filter("seg is null") if is_split(seqs) else seqs
-    table = tracing.batch_input(tracing.with_models(whole, None, config), config)
+    table = spread(tracing.batch_input(tracing.with_models(whole, None, config), config), "trace", "grp")
     bounds, S, fit_B = config.bounds(), config.states, not config.leveled
     limit, offset = rounds or config.max_iter, config.offset_train
 
