@@ -26,7 +26,7 @@ from marksheet.llm.common import id_field, map_texts
 
 BLANK = "▁"        # what a space is in a piece
 SHORT = 64              # longer parts are cut at every safe place and not remembered
-REMEMBERED = 1 << 19    # words, and parts of words, whose ids a worker holds at a time
+REMEMBERED = 1 << 18    # words, and parts of words, whose ids a worker holds at a time
 NEVER = 1 << 62
 OUT = 1 << 19           # ids in one Arrow batch, about
 LETTER = re.compile(r"[^\W\d_]")
