@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marksheet.llm import bpe, exact, langid, mix, near
-from marksheet.llm.common import Scratch, documents
+from marksheet.llm.common import Scratch, documents, small_batches
 from marksheet.llm.queries import bpe_digests
 
 
@@ -15,6 +15,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without any label to learn from, every text with a letter stays.  Null ids, repeated rows, long texts and
     further columns are kept as they are; an empty table stays empty.
     """
+    small_batches(spark)
     return langid.with_language(docs)
 
 
@@ -32,6 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is the one with the smallest id; of repeated rows one stays.  Texts without a word are one group, a null
     id stays only in a group without another, and an empty table stays empty.
     """
+    small_batches(spark)
     return near.drop_near_duplicates(docs)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksheet.llm.common import id_field, map_texts
+from marksheet.llm.common import id_field, map_texts, small_batches
 
 LONG = 1 << 16          # characters; longer texts are encoded block by block
 OUT = 1 << 19           # ids in one Arrow batch, about
@@ -75,8 +75,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Null and empty texts give an empty array, repeated rows and null ids a row each, an empty table an
     empty one; other columns are ignored.  A text of any length is encoded whole; one without a
-    safe place to cut goes through the encoder in one piece.
+    safe place to cut goes through the encoder in one piece.  The session's Arrow batches become small
+    (``common.small_batches``), those of ``decode`` too.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([id_field(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def batch(columns):

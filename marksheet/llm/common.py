@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from marksheet.plans.lineage import delete_path, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 1 << 21         # bytes of an Arrow batch that a Python worker gets, about
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,6 +86,15 @@ def matching_rows(docs: DataFrame, wanted: DataFrame, keys: dict[str, Column], c
     return single.union(one.select(F.col(f"{prefix}_row.*")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python workers in Arrow batches of about ``BATCH`` bytes.
+
+    Spark's own bounds, 10,000 rows and 64 MB, are for each buffer; a task that encodes and decodes has
+    several in both its workers and in the JVM, whose memory stays theirs.  A longer text is a batch alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: T.StructType,
               batch: Callable[[dict[str, pa.Array]], Iterator[dict]]) -> DataFrame:
     """``df[columns]`` through ``batch``, an Arrow batch at a time; ``batch`` yields columns of ``schema``."""

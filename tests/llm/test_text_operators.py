@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -16,8 +17,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import compare
+import corpus_pipeline
 from marksheet.llm import bpe, components, exact, gru, langid, lm, mix, near, passages, pii, queries, ranking, rules
-from marksheet.llm.common import Scratch
+from marksheet.llm.common import BATCH, Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, fp string, n string"
@@ -161,6 +163,28 @@ def test_bpe_equals_the_library(spark, awkward, rows):
             assert bytes(r.raw) == texts[r.doc_id].encode()
 
 
+def test_workers_get_texts_and_ids_in_small_batches(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text"))
+
+    def texts(batches):
+        for part in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([part.nbytes], pa.int64())})
+
+    @F.arrow_udf("long")
+    def ids(column: pa.Array) -> pa.Array:
+        return pa.array([column.nbytes] * len(column), pa.int64())
+
+    for stage in (lambda: bpe.encode(docs, *RANKS), lambda: corpus_pipeline.tokens(spark, docs, ""),
+                  lambda: corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage()
+        sizes = [r.size for r in docs.mapInArrow(texts, "size long").collect()]
+        assert sum(sizes) > 15e6 and max(sizes) < 1.1 * BATCH
+    encoded = bpe.encode(docs, *RANKS)
+    most = encoded.select(ids("ids").alias("n"), F.size("ids").alias("size")).agg(F.max("n"), F.sum("size")).first()
+    assert 4 * most[1] > 10e6 and most[0] < 1.1 * BATCH
+
+
 def test_blocks_of_long_texts_have_the_tokens_of_the_whole():
     draw = np.random.default_rng(0)
     encoder = tiktoken.Encoding("t", pat_str=RANKS[1], mergeable_ranks=dict(bpe.encoder(*RANKS)._mergeable_ranks), special_tokens={})
