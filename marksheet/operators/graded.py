@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from marksheet.functions import logistic as lg
 from marksheet.functions.grids import hermite_grid
-from marksheet.operators import marginal
+from marksheet.operators import marginal, newton
 from marksheet.operators.ability import normalized
 from marksheet.operators.patterns import pack, table
 from marksheet.plans.lineage import RoundTable, cut_lineage
@@ -143,26 +143,51 @@ def grm_mstep(items: DataFrame, counts: DataFrame, low: int, high: int, size: in
     return table.mapInPandas(step, schema)
 
 
+def log_slopes(slope, thresholds, nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithms of ``category_chances`` with first and second derivatives by (slope, thresholds): (item, category[, ...], node)."""
+    n, m = thresholds.shape
+    reach, chance = category_chances(slope, thresholds, nodes)
+    chance = np.maximum(chance, TINY)
+    rise = reach * (1 - reach)
+    bend = rise * (1 - 2 * reach)
+    first, second = np.zeros((n, m + 1, m + 1, len(nodes))), np.zeros((n, m + 1, m + 1, m + 1, len(nodes)))
+    for j in range(1, m + 1):
+        for category, sign in ((j, 1.0), (j - 1, -1.0)):
+            first[:, category, j] += sign * rise[:, j]
+            first[:, category, 0] += sign * nodes * rise[:, j]
+            second[:, category, j, j] += sign * bend[:, j]
+            second[:, category, 0, j] += sign * nodes * bend[:, j]
+            second[:, category, j, 0] += sign * nodes * bend[:, j]
+            second[:, category, 0, 0] += sign * nodes ** 2 * bend[:, j]
+    first /= chance[:, :, None]
+    second = second / chance[:, :, None, None] - first[:, :, :, None] * first[:, :, None]
+    return np.log(chance), first, second
+
+
 INNER = 10      # Fisher steps of every item between two expectation steps
+EARLY = 8       # EM steps before Newton steps
 
 
 def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size: int = 11, history: list | None = None):
     """EM until no parameter moves by ``tol``: items (item_id, slope, thresholds, converged) and the number of rounds.
 
     Equal score patterns are merged and EM steps extrapolated where that raises the marginal log-likelihood,
-    which ``history`` gets.  With more items than ``patterns.MOST_ITEMS`` the steps go by joins.
+    which ``history`` gets.  After ``EARLY`` steps come Newton steps, with up to ``newton.UNKNOWNS`` parameters, till the one that is left is
+    below ``tol``; where they do not get there, EM goes on.  With more items than ``patterns.MOST_ITEMS`` the steps go by joins.
     """
-    found = pack(scores.select("user_id", "item_id", (F.col("score") - F.lit(score_range(scores)[0])).alias("score")), "score")
+    scores = cut_lineage(scores.select("user_id", "item_id", "score"), "scores")
+    low, high = score_range(scores)
+    found = pack(scores.withColumn("score", F.col("score") - F.lit(low)), "score")
     if found is None:
         return _fit_by_joins(scores, max_rounds, tol, size)
-    low, high = score_range(scores)
     nodes, mass = (np.array(x) for x in hermite_grid(size))
     first = start_items(scores, high - low + 1).first()
     start = np.tile([first.slope, *first.thresholds], (len(found.items), 1))
+    blocks = found.blocks()
 
     def em(x):
         _, chance = category_chances(x[:, 0], x[:, 1:], nodes)
-        loglik, counts = marginal.expectation(found.distinct, np.log(np.maximum(chance, TINY)), mass)
+        loglik, counts = marginal.expectation(blocks, np.log(np.maximum(chance, TINY)), mass)
         slope, thresholds = x[:, 0], x[:, 1:]
         for _ in range(INNER):
             slope, thresholds, moved = newton_step(slope, thresholds, counts, nodes)
@@ -171,8 +196,22 @@ def fit_grm(scores: DataFrame, max_rounds: int = 1000, tol: float = 1e-5, size:
         return loglik, np.column_stack([slope, thresholds])
 
     falling = lambda x: x if (np.diff(x[:, 1:], axis=1) < 0).all() else None
-    x, _, rounds, done, values = marginal.accelerated(
-        start, em, falling, max_rounds, lambda f0, f1, x0, x1: np.abs(x1 - x0).max() < tol)
+    settled = lambda f0, f1, x0, x1: np.abs(x1 - x0).max() < tol
+
+    def curvature(z):
+        x = z.reshape(start.shape)
+        if falling(x) is None:
+            return -np.inf, np.zeros(z.size), np.zeros((z.size, z.size))
+        return marginal.curvature(blocks, *log_slopes(x[:, 0], x[:, 1:], nodes), mass)
+
+    use_newton = start.size <= newton.UNKNOWNS
+    x, _, rounds, done, values = marginal.accelerated(start, em, falling, min(EARLY, max_rounds) if use_newton else max_rounds, settled)
+    if use_newton and not done and rounds < max_rounds:
+        z, _, used, done, more = newton.ascend(x.ravel(), curvature, lambda step, _: np.abs(step).max() < tol, passes=min(newton.PASSES, max_rounds - rounds))
+        x, rounds, values = z.reshape(start.shape), rounds + used, [*values, *more[1:]]
+        if not done and rounds < max_rounds:
+            x, _, used, done, more = marginal.accelerated(x, em, falling, max_rounds - rounds, settled)
+            rounds, values = rounds + used, [*values, *more[1:]]
     if history is not None:
         history += values
     return table(scores.sparkSession, found.items, scores.schema["item_id"],

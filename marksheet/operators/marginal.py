@@ -60,6 +60,40 @@ def expectations(table: DataFrame, logs: np.ndarray, mass: np.ndarray) -> dict[s
     return sums(table, {"loglik": (), "counts": logs.shape, "mass": (nodes,)}, work)
 
 
+def curvature(table: DataFrame, logs: np.ndarray, first: np.ndarray, second: np.ndarray, mass: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Marginal log-likelihood, its gradient and its Hessian by all parameters of all items.
+
+    ``logs`` is (item, code, node), ``first`` (item, code, parameter, node) and ``second`` (item, code, parameter, parameter, node)
+    its derivatives by the item's own parameters.
+    """
+    items, codes, nodes = logs.shape
+    size = first.shape[2]
+    N = items * size
+    by_node = np.ascontiguousarray(first.transpose(3, 0, 2, 1))     # node, item, parameter, code
+
+    def work(rows: Rows):
+        value, counts, hessian = 0.0, np.zeros((items * codes, nodes)), np.zeros((N, N))
+        for part in rows.parts(max(items * codes, N)):
+            cells = part.matrix(items, codes, sparse=True)
+            share, loglik = _normalised(cells @ logs.reshape(items * codes, nodes) + np.log(mass))
+            value += (part.weight * loglik).sum()
+            weighted = part.weight[:, None] * share
+            counts += cells.T @ weighted
+            turned = np.ascontiguousarray(cells.T).reshape(items, codes, -1)
+            mean = np.zeros((N, len(cells)))
+            for k in range(nodes):
+                slope = (by_node[k] @ turned).reshape(N, -1)
+                hessian += (slope * weighted[:, k]) @ slope.T
+                mean += slope * share[:, k]
+            hessian -= (mean * part.weight) @ mean.T
+        return {"loglik": np.array(value), "counts": counts, "hessian": hessian}
+
+    found = sums(table, {"loglik": (), "counts": logs.shape, "hessian": (N, N)}, work)
+    hessian = found["hessian"].reshape(items, size, items, size)
+    hessian[np.arange(items), :, np.arange(items)] += np.einsum("nck,ncpqk->npq", found["counts"], second)
+    return float(found["loglik"]), np.einsum("nck,ncpk->np", found["counts"], first).ravel(), hessian.reshape(N, N)
+
+
 def item_logs(a, b, c, nodes) -> np.ndarray:
     p = curve(a, b, c, nodes)
     return np.log(np.stack([np.maximum(1 - p, 1e-300), np.maximum(p, 1e-300)], 1))
