@@ -1,16 +1,20 @@
 """Mastery over a live stream of answers: the filter of ``tracing.forward``, kept as keyed state.
 
-Every (skill, learner) holds one state distribution, its number of answers and those that wait.  An answer
+Every (skill, learner) holds one state distribution, its number of answers and those that wait.  Some thousand
+of them share a bucket, whose state is read and written as a whole: a call to the state store costs more than many
+answers.  An answer
 waits until the watermark has passed it, so answers are filtered in the order of their time even if they come
 out of order within the allowed delay; then a timer applies what is due and the new state goes out.  Answers that
 come later than the delay are dropped by the watermark, and ``late_answers`` counts them.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -21,6 +25,8 @@ from marksheet.operators.tracing import STANDARD, TracingConfig, with_models
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MODEL = "pi array<double>, A array<array<double>>, B array<array<double>>"
 ORDER_FIELDS = ("ts", "event_id")
+BUCKETS = 1024
+KEY = ["skill", "user_id"]
 
 
 def updated(state: np.ndarray | None, answer: int, pi, A, B) -> np.ndarray:
@@ -82,6 +88,91 @@ def _plain(value):
     return [_plain(v) for v in value] if hasattr(value, "__len__") else float(value)
 
 
+def _bytes(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _frame(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_all().to_pandas()
+
+
+def filtered(due: pd.DataFrame, state: np.ndarray, n: np.ndarray, pi, A, B) -> tuple[np.ndarray, np.ndarray]:
+    """States and numbers of answers of keys 0, 1, ... after the answers of ``due`` (at: the key), which lie in order of key and time."""
+    at, answer = due["at"].to_numpy(), due["answer"].to_numpy()
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    turns = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place))
+    state, n = state.copy(), n.copy()
+    for k, end in enumerate(ends):      # the next answer of every key that has one
+        rows = turns[ends[k - 1] if k else 0:end]
+        own = at[rows]
+        weight = np.where((n[own] == 0)[:, None], pi, state[own] @ A) * B.T[answer[rows]]
+        state[own] = weight / np.maximum(weight.sum(1, keepdims=True), hmm.TINY)
+        n[own] += 1
+    return state, n
+
+
+class Masteries(Mastery):
+    """States of all (skill, learner) of a bucket; see ``Mastery`` for the order in which answers count."""
+
+    def __init__(self, start: str):
+        self.start = start      # model of answers that bring none
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "held binary")
+        self.waiting = handle.getListState("waiting", "held binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        frame = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        self.waiting.appendValue((_bytes(frame[[*KEY, "tick", "event_id", "answer", "model"]]),))
+        self._wake(int(frame["tick"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.concat([_frame(held) for held, in self.waiting.get()] or [pd.DataFrame({"tick": []})], ignore_index=True)
+        is_due = rows["tick"] <= until
+        if not is_due.any():
+            return
+        now = _frame(self.now.get()[0]) if self.now.exists() else rows[[*KEY, "model"]].iloc[:0].assign(n=0, state=None)
+        both = pd.concat([now[[*KEY, "model"]], rows[[*KEY, "model"]]], ignore_index=True)
+        number = both.groupby(KEY, sort=False).ngroup().to_numpy()
+        keys = both[~both.duplicated(KEY)].reset_index(drop=True)        # a key keeps the model that it had first
+        rows["at"] = number[len(now):]
+        due = rows[is_due].sort_values(["at", "tick", "event_id", "answer"], ignore_index=True)
+        n = np.zeros(len(keys), int)
+        n[:len(now)] = now["n"]
+        state, prob = np.empty(len(keys), object), np.zeros(len(keys))
+        state[:len(now)] = [*now["state"]]
+        model_of = keys["model"].to_numpy()[due["at"].to_numpy()]
+        for model in pd.unique(model_of):
+            pi, A, B = (np.array(json.loads(model or self.start)[k], float) for k in ("pi", "A", "B"))
+            own = due[model_of == model]
+            here, at = np.unique(own["at"].to_numpy(), return_inverse=True)
+            before = np.array([pi if n[k] == 0 else state[k] for k in here])
+            after, n[here] = filtered(own.assign(at=at), before, n[here], pi, A, B)
+            state[here] = [*after]
+            prob[here] = (after @ A) @ B[:, 1]
+        known = n > 0
+        self.now.update((_bytes(keys[known].assign(n=n[known], state=[s.tolist() for s in state[known]])),))
+        left = rows[~is_due]
+        if len(left):
+            self.waiting.put([(_bytes(left.drop(columns="at")),)])
+            self._wake(int(left["tick"].min()))
+        else:
+            self.waiting.clear()
+        last = due.drop_duplicates("at", keep="last")
+        at = last["at"].to_numpy()
+        yield pd.DataFrame({"skill": keys["skill"].to_numpy()[at], "user_id": keys["user_id"].to_numpy()[at], "tick": last["tick"].to_numpy(), "n_obs": n[at],
+                            "state": [s.tolist() for s in state[at]], "prob": prob[at]})
+
+
 def mastery_stream(answers: DataFrame, models: DataFrame | None = None, config: TracingConfig = STANDARD, delay: str = "0 seconds") -> DataFrame:
     """States of every learner and skill as answers arrive: skill, user_id, ts, n_obs, state, prob (of a right next answer).
 
@@ -91,11 +182,15 @@ def mastery_stream(answers: DataFrame, models: DataFrame | None = None, config:
     """
     rows = answers.select("skill", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("answer").cast("int").alias("answer")) \
         .dropna().withWatermark("ts", delay).withColumn("trace", F.col("skill"))
-    modelled = with_models(rows, models, config).drop("trace")
+    start = json.dumps({"pi": _plain(config.pi), "A": _plain(config.A), "B": None if config.B is None else _plain(config.B)})
+    model = F.lit("") if models is None else F.to_json(F.struct("pi", "A", "B"))
+    bucket = F.pmod(F.xxhash64("skill", "user_id"), F.lit(BUCKETS)).cast("int")
+    modelled = with_models(rows, models, config).select("skill", "user_id", "ts", F.unix_micros("ts").alias("tick"), "event_id", "answer", model.alias("model"), bucket.alias("bucket"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"skill {kinds['skill']}, user_id {kinds['user_id']}, ts timestamp, n_obs long, state array<double>, prob double"
-    return modelled.groupBy("skill", "user_id").transformWithStateInPandas(
-        statefulProcessor=Mastery(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    schema = f"skill {kinds['skill']}, user_id {kinds['user_id']}, tick long, n_obs long, state array<double>, prob double"
+    return modelled.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=Masteries(start), outputStructType=schema, outputMode="Append", timeMode="EventTime").select(
+        "skill", "user_id", F.timestamp_micros("tick").alias("ts"), "n_obs", "state", "prob")
 
 
 def start_mastery(spark: SparkSession, updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
